@@ -204,6 +204,21 @@ def test_shortest_pack_first():
     assert sum(s * n for s, n in histogram.items()) > 0.97 * 100 * sequences
 
 
+def test_encoder_agrees():
+    import duckdb
+    from voxloom.llm.packing import Encoder
+    import public_tokenizers
+
+    own = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    alphabet = "aB'sTrevmld1²½ªºÀÿĂɏİßǅ\u0301Σσςñ.,<|>-_@ \t\n\x0b\x1c\x85\xa0\u2003\u200b日本"
+    rng = np.random.Generator(np.random.PCG64(2))
+    texts += ["".join(alphabet[i] for i in rng.integers(0, len(alphabet), 12)) for _ in range(4000)]
+    texts += ["x<|endoftext|>y", "<|startoftext|>", "it's we'LL 'Re don'T", "".join(map(chr, range(0x250)))]
+    for text in texts:
+        assert own.ids(text) == own.whole(text), repr(text)
+
+
 def test_packing(docs, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -32,7 +32,7 @@ def row_order(column: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(column.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def running_before(df: DataFrame, keys: Sequence[str], order: str, then: Sequence[str], values: dict[str, str], rows: int, per_bucket: int = 50_000) -> DataFrame:
+def running_before(df: DataFrame, keys: Sequence[str], order: str, then: Sequence[str], values: dict[str, str], rows: int, per_bucket: int = 5_000) -> DataFrame:
     """Adds, for each ``new: value`` of ``values``, the sum of ``value`` over the rows before this one among those with equal ``keys``.
 
     Rows come by ``order`` (a 60-bit rank that is spread evenly), ties by ``then``.  A key may hold

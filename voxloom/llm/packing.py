@@ -21,10 +21,11 @@ import heapq
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,58 +35,87 @@ from voxloom.session import durable
 #: Tokens of a sequence, and the token that ends each document.
 LENGTH, END = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose tokens a Python worker remembers, in each of two generations.
-REMEMBERED = 200_000
+#: Words, and parts of words, whose tokens a Python worker remembers, in each of two generations.
+REMEMBERED = 300_000
 
 # --- tokens ------------------------------------------------------------------------------------
 
 #: Characters that Python's str.split parts words at but the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Words that are cut here as the tokenizer cuts them: printable characters up to U+024F, where case folding
+#: and composition are simple.  All others, and what may be a special token, go through the tokenizer whole.
+_PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
+# The tokenizer's published split pattern, and the characters that stand for bytes.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_AS_CHARACTERS = {b: _HIDDEN.get(b, b) for b in range(256)}
 
 
 class Memory(dict):
-    """word -> its token ids as little-endian 32-bit numbers.  White space always parts tokens and leaves none,
-    so the ids of a text are those of its words in order."""
+    """A function of words that remembers two generations of results, so that its size is bounded."""
 
-    def __init__(self, tokenizer, known: re.Pattern | None = None):
+    def __init__(self, function: Callable[[str], bytes]):
         super().__init__()
-        self.tokenizer, self.older = tokenizer, {}
+        self.function, self.older = function, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.encode(word)
+        value = self.older.get(word)
+        if value is None:
+            value = self.function(word)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
-        self[word] = ids
-        return ids
+        self[word] = value
+        return value
 
-    def encode(self, text: str) -> bytes:
+
+class Encoder:
+    """Token ids of texts as little-endian 32-bit numbers, as the tokenizer gives them.
+
+    White space always parts tokens and leaves none, so the ids of a text are those of its words in
+    order; plain words are cut by the published pattern, and their parts are remembered too, since
+    most new words differ from known ones by case and punctuation only.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.parts = Memory(self._word), Memory(self._part)
+
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        visible = part.encode().decode("latin-1").translate(_AS_CHARACTERS)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(visible)])
+
+    def _word(self, word: str) -> bytes:
+        if "<|" in word or not _PLAIN.fullmatch(word):
+            return self.whole(word)
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
+
     def ids(self, text: str) -> bytes:
         if _ODD.search(text):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+            return self.whole(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
-_memories: dict[str, Memory] = {}
+_encoders: dict[str | None, Encoder] = {}
 
 
-def memory(path: str | None = None) -> Memory:
-    """This process's tokenizer and what it remembers; ``path`` is that of a tokenizer file."""
-    if path not in _memories:
+def encoder(path: str | None = None) -> Encoder:
+    """This process's encoder; ``path`` is that of a tokenizer file."""
+    if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         if path is None:
             import public_tokenizers
 
-            _memories[path] = Memory(Tokenizer.from_file(public_tokenizers.path(TOKENIZER)))
+            _encoders[path] = Encoder(public_tokenizers.path(TOKENIZER))
         else:
-            _memories[path] = Memory(Tokenizer.from_file(path))
-    return _memories[path]
+            _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -95,7 +125,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None = None, length: int =
     end, wide = np.array([END], "<u4").tobytes(), 4 * length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = memory(tokenizer_path)
+        known = encoder(tokenizer_path)
         for batch in batches:
             tokens, crcs = [], []
             for text in batch.column(1):
