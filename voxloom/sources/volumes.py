@@ -46,7 +46,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(place):
         return None
-    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    stream = files.open(place)  # not spark.read: it skips names that begin with a dot
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def _json(spark: SparkSession, path: str) -> dict | None:
