@@ -136,7 +136,18 @@ def build(unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float
     return edges
 
 
-def within(unit: np.ndarray, edges: np.ndarray, query: np.ndarray, seeds: np.ndarray, threshold: float, slack: float) -> np.ndarray:
+def mutual(edges: np.ndarray) -> list[np.ndarray]:
+    """Neighbours of each vertex along its own edges and against those of others.
+
+    Pruning to a fixed degree leaves vertices of dense groups that no list names; backwards they are reached.
+    """
+    src, slot = np.nonzero(edges >= 0)
+    dst = edges[src, slot]
+    both = np.unique(np.concatenate([src * len(edges) + dst, dst * len(edges) + src]))
+    return np.split(both % len(edges), np.searchsorted(both, np.arange(1, len(edges)) * len(edges)))
+
+
+def within(unit: np.ndarray, near: list[np.ndarray], query: np.ndarray, seeds: np.ndarray, threshold: float, slack: float) -> np.ndarray:
     """Vertices with cosine >= threshold that an expansion from ``seeds`` through the slack reaches."""
     seen = np.zeros(len(unit), bool)
     hits = []
@@ -145,9 +156,11 @@ def within(unit: np.ndarray, edges: np.ndarray, query: np.ndarray, seeds: np.nda
         seen[front] = True
         sims = unit[front] @ query
         hits.append(front[sims >= threshold])
-        front = np.unique(edges[front[sims >= threshold - slack]])
-        front = front[front >= 0]
-        front = front[~seen[front]]
+        onward = front[sims >= threshold - slack]
+        reached = np.zeros(len(unit), bool)
+        for i in onward:
+            reached[near[i]] = True
+        front = np.flatnonzero(reached & ~seen)
     return np.concatenate(hits) if hits else np.zeros(0, int)
 
 
@@ -308,10 +321,11 @@ def _search(table: pa.Table, threshold: float) -> pa.RecordBatch:
     inside = table.column("inside").to_numpy(zero_copy_only=False)
     own_shards = table.column("shards").to_pylist()
     place = {int(v): i for i, v in enumerate(ids)}
-    lists = [[place[v] for v in (near or ()) if v in place] for near in table.column("near").to_pylist()]
+    lists = [[place[v] for v in (named or ()) if v in place] for named in table.column("near").to_pylist()]
     edges = np.full((len(ids), max(1, max(map(len, lists)))), -1)
-    for i, near in enumerate(lists):
-        edges[i, : len(near)] = near
+    for i, named in enumerate(lists):
+        edges[i, : len(named)] = named
+    near = mutual(edges)
     mine = np.flatnonzero(inside & (home == shard))
     members = np.flatnonzero(inside)
     start = int(members[medoid(unit[members])])
@@ -322,7 +336,7 @@ def _search(table: pa.Table, threshold: float) -> pa.RecordBatch:
         best, sims = greedy(unit, edges, unit[part], start, BEAM)
         for i, row, value in zip(part, best, sims, strict=True):
             seeds = row[(row >= 0) & (value >= threshold - SLACK)]
-            hits = within(unit, edges, unit[i], np.append(seeds, i), threshold, SLACK)
+            hits = within(unit, near, unit[i], np.append(seeds, i), threshold, SLACK)
             hits = hits[hits != i]
             n[i] += copies[hits[inside[hits]]].sum()
             for j in hits:
