@@ -4,7 +4,8 @@
     into one with a count, so copies never meet each other again.
 2.  Centres are fitted on a bounded sample (``SAMPLE`` vectors of each label, in hash order).  A
     vector's home is the shard of its label and nearest centre; it also joins the shards of the next
-    nearest centres (``OVERLAP`` in all).
+    nearest centres (``OVERLAP`` in all), unless the plane between the two centres is further off than
+    half the length of a link: of two linked vectors one is nearer than that.
 3.  Each shard builds a graph by inserting its vectors in doubling batches: a batched greedy search
     from the medoid finds candidates, which are pruned robustly (``DEGREE``, ``ALPHA``), and edges are
     made mutual.
@@ -41,7 +42,7 @@ from voxloom.session import durable
 
 THRESHOLD = 0.93
 #: Vectors of a shard, centres of a label at most, vectors of a label that its centres are fitted on.
-SHARD, CENTRES, SAMPLE = 2500, 4096, 4000
+SHARD, CENTRES, SAMPLE = 750, 4096, 4000
 #: Vectors that centres are fitted on, of all labels together; labels that are cut into shards at most (the largest).
 SAMPLE_ALL, LABELS = 1 << 16, 4096
 OVERLAP = 2
@@ -191,6 +192,14 @@ def _centres(vectors: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def nearest_shards(centres: np.ndarray, vector: np.ndarray, reach: float) -> np.ndarray:
+    """The nearest centre, and of the next ones (``OVERLAP`` in all) those whose parting plane is within ``reach``."""
+    score = centres @ vector - (centres**2).sum(1) / 2
+    near = np.argsort(-score, kind="stable")[:OVERLAP]
+    apart = np.sqrt(((centres[near] - centres[near[0]]) ** 2).sum(1))
+    return near[score[near[0]] - score[near] <= reach * apart + 1e-9]
+
+
 def _unit(values: np.ndarray) -> np.ndarray | None:
     """The vector at length 1, or None if it cannot be compared; scaled first, so that squares neither overflow nor vanish."""
     top = np.abs(values).max(initial=0.0)
@@ -222,8 +231,9 @@ def unit_vectors(embeddings: DataFrame) -> DataFrame:
     return unit.groupBy("label", "unit").agg(F.min("vec_id").alias("vec_id"), F.count("vec_id").alias("copies"))
 
 
-def shards(points: DataFrame) -> DataFrame:
+def shards(points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(label, vec_id, unit, copies, home, shards): the vectors with their home shard and all their shards."""
+    half = math.sqrt(2 - 2 * threshold) / 2
     spark = points.sparkSession
     wide = points.groupBy("label").count().where(F.col("count") > SHARD).orderBy(F.desc("count"), "label").limit(LABELS)
     counts = {r[0]: r[1] for r in wide.collect()}
@@ -252,7 +262,7 @@ def shards(points: DataFrame) -> DataFrame:
                     homes.append(0)
                     all_shards.append([0])
                     continue
-                near = np.argsort(-(middle @ vector - (middle**2).sum(1) / 2), kind="stable")[:OVERLAP]
+                near = nearest_shards(middle, vector, half)
                 homes.append(int(near[0]))
                 all_shards.append([int(c) for c in near])
             yield pa.RecordBatch.from_arrays(
@@ -292,7 +302,7 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     """
     small_batches(embeddings.sparkSession, 2048)
     points = durable(unit_vectors(embeddings))
-    placed = durable(shards(points))
+    placed = durable(shards(points, threshold))
     members = placed.withColumn("shard", F.explode("shards"))
     near = durable(adjacency(members))
     # A shard's graph: members with their lists, and as leaves what those lists name beyond the shard.
