@@ -140,6 +140,33 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_dense_group_is_searched_whole():
+    """Pruning leaves vertices of a dense group that no list names; expansion must reach them all the same."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    centre = rng.normal(size=64)
+    unit = np.concatenate([centre + rng.normal(size=(250, 64)) * 0.2, rng.normal(size=(300, 64))])
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    edges = embedding_dedup.build(unit)
+    assert len(np.setdiff1d(np.arange(len(unit)), edges)) > 0
+    near = embedding_dedup.mutual(edges)
+    for i in range(len(unit)):
+        hits = embedding_dedup.within(unit, near, unit[i], np.array([i]), 0.93, embedding_dedup.SLACK)
+        assert hits.tolist() and set(hits.tolist()) == set(np.flatnonzero(unit @ unit[i] >= 0.93).tolist())
+
+
+def test_skipped_shards_hold_no_links():
+    """With as many memberships as centres, two vectors within the threshold share the home of one of them."""
+    rng = np.random.Generator(np.random.PCG64(6))
+    centres = rng.normal(size=(2, 16)) * 0.2
+    unit = rng.normal(size=(400, 16))
+    unit = np.concatenate([unit, unit + rng.normal(size=unit.shape) * 0.25])
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    own = [embedding_dedup.nearest_shards(centres, u, np.sqrt(2 - 2 * 0.93) / 2).tolist() for u in unit]
+    assert {len(o) for o in own} == {1, 2}
+    for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.93, 1)), strict=True):
+        assert own[i][0] in own[j] or own[j][0] in own[i]
+
+
 # --- 3 -----------------------------------------------------------------------------------------
 
 
