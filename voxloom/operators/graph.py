@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.session import durable
+from voxloom.session import durable, release
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     a minimum per node, which Spark combines on the map side, and joins it back; joins on a node of
     very many edges are left to adaptive skew splitting.  Each round is checkpointed, and rounds end
     when a fingerprint of the edge set stays as it was.  Nodes with no edge but to themselves, and
-    null ends, do not appear.
+    null ends, do not appear.  What earlier rounds left on disk is released each round.
     """
     pairs = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
     pairs = durable(pairs.where("hi > lo").distinct())
@@ -31,3 +31,5 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         low = large.groupBy("hi").agg(F.min("lo").alias("low"))
         small = large.join(low, "hi").where("lo > low").selectExpr("lo hi", "low lo")
         pairs = durable(small.union(low.selectExpr("hi", "low lo")).distinct())
+        del both, low, large, small
+        release(edges.sparkSession)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of frames that are no longer referenced.
+
+    Spark deletes them when the driver collects its garbage, which a small driver may not do for
+    hours; a loop that leaves a shuffle behind each round would fill the disks meanwhile.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checked_broadcast(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df`` marked for a broadcast join if it has at most ``most`` rows, else ``df`` as it is.
 
