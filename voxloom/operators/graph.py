@@ -46,7 +46,7 @@ def contracted(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", chunk: int = CHUNK) -> DataFrame:
     """(id, root) of each node of ``edges`` that is not its own root; root is the smallest id of its component.
 
-    Edges are first contracted where they stand, which leaves at most one per node and chunk.  What
+    Distinct edges are first contracted in chunks, which leaves at most one per node and chunk.  What
     then fits into one chunk is finished by one more contraction.  Otherwise chunks of many small
     partitions are contracted together, and the published large-star and small-star steps (Kiveris
     et al., 2014) alternate.  Each step takes a minimum per node, which Spark combines on the map
@@ -56,7 +56,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", chunk: int
     do not appear.  What earlier rounds left on disk is released each round.
     """
     pairs = edges.select(F.greatest(src, dst).cast("long").alias("hi"), F.least(src, dst).cast("long").alias("lo"))
-    pairs = durable(contracted(pairs.where("hi > lo"), chunk))
+    # The shuffle of distinct() also parts this Python step from one that made the edges: a task would hold a worker for each.
+    pairs = durable(contracted(pairs.where("hi > lo").distinct(), chunk))
     n = pairs.count()
     if n > chunk:
         pairs = durable(contracted(pairs.coalesce(math.ceil(n / chunk)), chunk).distinct())
