@@ -30,3 +30,44 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_contact_sites_cover_the_whole_volume(spark):
+    import itertools
+
+    import pyarrow.parquet as pq
+
+    from voxloom.operators.assign import bresenham
+
+    orders = pq.read_table(f"{SF}/orders.parquet").select(["o_orderkey", "o_totalprice"]).to_pydict()
+    at = {k: (k // 400, k // 20 % 20, k % 20) for k in orders["o_orderkey"]}
+    a = {at[k] for k, v in zip(orders["o_orderkey"], orders["o_totalprice"], strict=True) if v >= 440000}
+    b = {at[k] for k, v in zip(orders["o_orderkey"], orders["o_totalprice"], strict=True) if v < 30000}
+    faces = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+
+    def plus(p, o):
+        return tuple(i + j for i, j in zip(p, o, strict=True))
+
+    def inside(own):
+        return {p for p in own if all(plus(p, o) in own for o in faces)}
+
+    solid, size, voxels = inside(a) | inside(b), (3.54, 4.0, 4.5), set()
+    for p, q in itertools.product(a - inside(a), b - inside(b)):
+        if sum(((i - j) * s) ** 2 for i, j, s in zip(p, q, size, strict=True)) <= 64:
+            line = bresenham(p, q)
+            if solid.isdisjoint(line):
+                voxels |= set(line)
+    sites, left = set(), set(voxels)
+    while left:
+        site = todo = {left.pop()}
+        while todo:
+            todo = {plus(p, o) for p in todo for o in itertools.product((-1, 0, 1), repeat=3)} & left
+            left -= todo
+            site = site | todo
+        if len(site) >= 2:
+            sites.add(frozenset(site))
+    got = {}
+    for r in QUERIES["contact_sites"](spark, SF).collect():
+        got.setdefault(r.label, set()).add((r.z, r.y, r.x))
+    assert {frozenset(v) for v in got.values()} == sites
+    assert max(x for v in got.values() for _, _, x in v) >= 10

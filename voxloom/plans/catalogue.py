@@ -207,6 +207,16 @@ def connected_components_c3(s, d):
     return components.connected_components(_fg(s, d).where("x < 5 and y < 9"), _frame(s, d), 3, block=BLOCK)
 
 
+@query(_component_sql("fg", "n18"))
+def connected_components_c2_whole(s, d):
+    return components.connected_components(_fg(s, d), _frame(s, d), 2, block=BLOCK)
+
+
+@query(_component_sql("fg", "n26"))
+def connected_components_c3_whole(s, d):
+    return components.connected_components(_fg(s, d), _frame(s, d), 3, block=BLOCK)
+
+
 @query(_component_sql("fg", "n6", "HAVING count(*) BETWEEN 2 AND 30"))
 def connected_components_volume_filter(s, d):
     frame = _frame(s, d)
@@ -384,11 +394,18 @@ def ball_join_pairs(s, d):
     return assign.ball_join(_fg(s, d).where("x < 6"), _seg2(s, d).where("label = 1 and x < 6"), _frame(s, d), 8.0).withColumnRenamed("by", "by_")
 
 
+@query(""", b AS (SELECT z, y, x FROM seg2 WHERE label = 1)
+    SELECT a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS by_, b.x AS bx FROM fg a JOIN b ON b.z BETWEEN a.z - 3 AND a.z + 3 AND abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3
+    WHERE pow((a.z - b.z) * 3.54e0, 2) + pow((a.y - b.y) * 4e0, 2) + pow((a.x - b.x) * 4.5e0, 2) <= 64e0""")
+def ball_join_pairs_whole(s, d):
+    return assign.ball_join(_fg(s, d), _seg2(s, d).where("label = 1"), _frame(s, d), 8.0).withColumnRenamed("by", "by_")
+
+
 @query()
 def contact_sites(s, d):
     frame = _frame(s, d)
-    a = _raw(s, d).where("value >= 440000 and x < 10").select(*ZYX, F.lit(1).cast("long").alias("label"))
-    b = _raw(s, d).where("value < 30000 and x < 10").select(*ZYX, F.lit(1).cast("long").alias("label"))
+    a = _raw(s, d).where("value >= 440000").select(*ZYX, F.lit(1).cast("long").alias("label"))
+    b = _raw(s, d).where("value < 30000").select(*ZYX, F.lit(1).cast("long").alias("label"))
     return assign.contact_sites(a, b, frame, 8.0, 2 * frame.volume, BLOCK)
 
 
@@ -480,6 +497,13 @@ def shard_assignment(s, d):
     return ids.select("label", shard.cast("long").alias("shard"), minishard.cast("long").alias("minishard"))
 
 
+@query("SELECT DISTINCT o_orderkey AS label, CAST((o_orderkey >> 2 >> 1) & 3 AS BIGINT) AS shard, CAST((o_orderkey >> 2) & 1 AS BIGINT) AS minishard FROM orders")
+def shard_assignment_whole(s, d):
+    shard, minishard = Sharding(2, 2, 1).columns(F.col("label"))
+    ids = s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey label").distinct()
+    return ids.select("label", shard.cast("long").alias("shard"), minishard.cast("long").alias("minishard"))
+
+
 @query("SELECT * FROM (VALUES ('a', 177, 200, 200, 50), ('b', 7, 8, 8, 2), ('c', 7, 9, 11, 2), ('d', 4, 4, 4, 1)) t(name, z, y, x, factor)")
 def voxel_frame_scaling(s, d):
     sizes = {"a": (3.54, 4, 4), "b": (3.5, 4, 4), "c": (3.5, 4.5, 5.5), "d": (4, 4, 4)}
