@@ -8,9 +8,15 @@ like an identifier: five digits or an @ at least, and no part of a base span) ha
 the kinds of its neighbouring words, and an instance, its shape.  Patterns and instances form a
 bipartite graph with counts.  Starting from seeds (confidence 1 of their kind) and unknown mentions (0),
 Spark scores it in turns: a pattern's confidence in a kind is the count-weighted mean of its
-instances', a shape's confidence that of its patterns'; seeds keep 1.  Patterns seen with enough
-seeds (``LEAST_SEEDS``) and of high confidence accept the mentions of confident shapes as new
-identifiers of the kind, which lifts the patterns they stand in, for ``ROUNDS`` rounds.
+mentions' (1 of a seed, that of its shape of an unknown one), a shape's confidence the count-weighted
+mean over its mentions (1 of a seed, that of its pattern of an unknown one), on the side that says
+more.  Only patterns that tell more than the corpus does pass on what their seeds say (others relay
+what their unknown mentions are believed): their other mentions are ``DEVIATIONS`` below the number
+that the kind's share of the corpus leads to expect.  Of enough
+support (``LEAST_SEEDS``) and high confidence, they accept the unknown mentions that stand in them as
+new identifiers of the kind, whatever their shape; patterns that do not tell accept only those of a
+shape of high confidence.  What is accepted counts 1 for its pattern in the next of ``ROUNDS``
+rounds, and shapes that gain confidence lift the other patterns they stand in.
 
 Scale.  Each text is scanned once; what stays are spans and hashes.  The graph is aggregated by
 (pattern, shape, kind) on the map side, so a very common context is one row; it is small beside the
@@ -38,6 +44,8 @@ from voxloom.session import durable
 KINDS = ("email", "ip", "card", "phone")
 #: Confidence that patterns and shapes need to accept a mention; seeds that a pattern needs; rounds.
 CONFIDENCE, LEAST_SEEDS, ROUNDS = 0.9, 20, 3
+#: Standard deviations by which a pattern has fewer other mentions than its share of the corpus would have.
+DEVIATIONS = 2.0
 
 # The base patterns.  The possessive and look-behind forms match the same spans as
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+     ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -185,22 +193,33 @@ def bootstrap(scanned: DataFrame, confidence: float = CONFIDENCE, least_seeds: i
     m = scanned.select(F.explode("mentions").alias("m")).select("m.*")
     sides = m.select("kind", "shape", F.posexplode(F.array("left", "right")).alias("side", "word"))
     graph = durable(sides.groupBy("side", "word", "shape", "kind").agg(F.count("*").alias("n")))
-    seeds = graph.where("kind >= 0").groupBy("side", "word", F.col("kind").alias("k")).agg(F.sum("n").alias("seeds"))
-    candidates = graph.where("kind < 0").select("side", "word", "shape", F.col("n").alias("unknown"))
-    accepted = None
+    seeds = graph.where("kind >= 0").groupBy("side", "word", F.col("kind").alias("k")).agg(F.sum("n").alias("support"), F.lit(0.0).alias("believed"))
     totals = graph.groupBy("side", "word").agg(F.sum("n").alias("total"))
-    shapes = graph.where("kind >= 0").groupBy("shape", F.col("kind").alias("k")).agg(F.sum("n").alias("as_kind"))
-    shape_totals = graph.groupBy("shape").agg(F.sum("n").alias("of_shape"))
+    unknown = graph.where("kind < 0").select("side", "word", "shape", F.col("n").alias("unknown"))
+    asked = unknown.select("shape").distinct()
+    seeded = graph.where("kind >= 0").join(asked, "shape", "left_semi").groupBy("side", "shape", F.col("kind").alias("k")).agg(F.sum("n").alias("part"))
+    of_shape = graph.where("side = 0").join(asked, "shape", "left_semi").groupBy("shape").agg(F.sum("n").alias("of_shape"))
+    shares = graph.where("side = 0").groupBy("kind").agg(F.sum("n").alias("n")).join(graph.where("side = 0").agg(F.sum("n").alias("all")))
+    shares = F.broadcast(shares.where("kind >= 0").select(F.col("kind").alias("k"), (F.col("n") / F.col("all")).alias("share")))
+    accepted = weights = None
     for _ in range(rounds):
-        known = seeds
-        if accepted is not None:  # what is accepted counts for the patterns that it stands in
-            known = seeds.union(candidates.join(accepted, ["side", "word", "shape"]).groupBy("side", "word", "k").agg(F.sum("unknown").alias("seeds")))
-            known = known.groupBy("side", "word", "k").agg(F.sum("seeds").alias("seeds"))
-        patterns = known.join(totals, ["side", "word"]).where((F.col("seeds") >= least_seeds) & (F.col("seeds") >= confidence * F.col("total")))
-        best = candidates.join(patterns.select("side", "word", "k", (F.col("seeds") / F.col("total")).alias("score")), ["side", "word"])
-        trusted = shapes.join(shape_totals, "shape").where(F.col("as_kind") >= confidence * F.col("of_shape")).select("shape", "k")
-        new = best.join(trusted, ["shape", "k"], "left_semi").groupBy("side", "word", "shape").agg(F.max(F.struct("score", "k"))["k"].alias("k"))
-        accepted = durable(new)
+        support = seeds
+        if weights is not None:  # unknown mentions count for their patterns as far as they are believed
+            believed = unknown.join(weights, ["side", "word", "shape"]).select("side", "word", "k", (F.col("unknown") * F.col("weight")).alias("support")).withColumn("believed", F.col("support"))
+            support = seeds.union(believed).groupBy("side", "word", "k").agg(F.sum("support").alias("support"), F.sum("believed").alias("believed"))
+        patterns = support.join(totals, ["side", "word"]).withColumn("score", F.col("support") / F.col("total")).join(shares, "k")
+        others = F.col("total") * (1 - F.col("share"))  # mentions that are not of the kind, were the pattern like the corpus
+        telling = F.col("total") - F.col("support") <= others - DEVIATIONS * F.sqrt(others)
+        met = durable(unknown.join(patterns.select("side", "word", "k", "score", "support", (F.col("believed") / F.col("total")).alias("relayed"), telling.alias("telling")), ["side", "word"]))
+        parts = met.select("side", "shape", "k", (F.col("unknown") * F.when(F.col("telling"), F.col("score")).otherwise(F.col("relayed"))).alias("part")).union(seeded.select("side", "shape", "k", "part"))
+        shapes = parts.groupBy("side", "shape", "k").agg(F.sum("part").alias("part")).join(of_shape, "shape")
+        shapes = durable(shapes.groupBy("shape", "k").agg(F.max(F.col("part") / F.col("of_shape")).alias("belief")))
+        good = met.where((F.col("support") >= least_seeds) & (F.col("score") >= confidence)).join(shapes, ["shape", "k"])
+        good = good.where(F.col("telling") | (F.col("belief") >= confidence))
+        accepted = durable(good.groupBy("side", "word", "shape").agg(F.max(F.struct("score", "k"))["k"].alias("k")))
+        weight = F.when(F.col("taken").isNull(), F.col("belief")).when(F.col("taken") == F.col("k"), 1.0).otherwise(0.0)
+        weights = unknown.select("side", "word", "shape").join(shapes, "shape").join(accepted.withColumnRenamed("k", "taken"), ["side", "word", "shape"], "left")
+        weights = weights.select("side", "word", "shape", "k", weight.alias("weight"))
     return accepted
 
 
