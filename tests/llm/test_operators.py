@@ -298,6 +298,13 @@ def test_html(spark):
     assert html_extract.extract(pages.where("page_id < 0")).count() == 0
 
 
+def test_html_deep_paths_have_their_own_nodes(spark):
+    deep = "".join(f"<div class='{'long name ' * 8}{k}'>" for k in range(12))  # over 400 characters of path
+    html = deep + "<div><p>Menu of the site</p></div><div><p>Story {0} tells of {1}</p></div>"
+    pages = spark.createDataFrame([(i, f"http://e.org/{i}", html.format(i, i * i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == {i: f"Story {i} tells of {i * i}" for i in range(12)}
+
+
 # --- 6 -----------------------------------------------------------------------------------------
 
 

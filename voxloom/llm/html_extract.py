@@ -1,7 +1,7 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host's pages are merged into one tree (Yi, Liu and Li, 2003).  Its element nodes are the
-paths of tags with class and id (and their order among like siblings); under an element, each distinct sequence of child tags that pages
+paths (as running hashes, of any depth) of tags with class and id (and their order among like siblings); under an element, each distinct sequence of child tags that pages
 show there is a presentation style, and each distinct text or link target of a leaf is a content
 feature.  With m pages of the host having an element,
 
@@ -73,6 +73,8 @@ class Page:
     __slots__ = ("blocks", "features", "styles")
 
     def __init__(self, source: str):
+        import xxhash
+
         self.blocks: list[tuple[str, bool, tuple[str, ...]]] = []
         self.features: dict[str, set[str]] = {}
         self.styles: dict[str, list[str]] = {}
@@ -147,12 +149,12 @@ class Page:
                 if noise and name == "a" and (m := _HREF.search(attributes)):
                     self.features.setdefault(path, set()).add(m.group(1) or m.group(2) or m.group(3) or "")
             bad = bad and name not in ("html", "body", "article", "main")
-            if not content and len(path) < 400:
+            if not content:
                 self.styles.setdefault(path, []).append(name)
                 if not noise and name in BLOCK:  # siblings of one label are told apart by their order
                     children[label] = children.get(label, -1) + 1
                     label = f"{label}#{children[label]}"
-                path = f"{path}/{label}"
+                path = xxhash.xxh64_hexdigest(f"{path}/{label}".encode("utf-8", "surrogatepass"))
             if name in VOID:
                 continue
             if name in RAW:
