@@ -298,6 +298,23 @@ def test_html(spark):
     assert html_extract.extract(pages.where("page_id < 0")).count() == 0
 
 
+def test_html_branches_in_articles_are_judged(spark):
+    rows = []
+    for i in range(12):
+        story = f"<p>Story {i} tells of {i * i}</p><p>more of {i} and {i + 7}</p>"
+        rows.append((i, f"http://a.org/{i}", f"<main><div class='box'><p>Read us daily</p></div><article>{story}<div class='x'>All rights kept</div></article></main>"))
+        rows.append((100 + i, f"http://b.org/{i}", f"<body><article><p>Teaser {i}</p></article><div>{story}</div><div><p>Read us daily</p></div></body>"))
+        rows.append((200 + i, f"http://c.org/{i}", f"<body><article class='post has-sidebar'>{story}</article><article class='comment'><p>Reader {i}</p></article></body>"))
+        rows.append((300 + i, f"http://d.org/{i}", "<body><article><p>The same page</p><p>again and again</p></article></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (10, 100_000):
+        got = {r.page_id: r.text for r in html_extract.extract(pages, most).collect()}
+        for i in range(12):
+            story = f"Story {i} tells of {i * i}\n\nmore of {i} and {i + 7}"
+            assert got[i] == got[200 + i] == story and got[100 + i] == f"Teaser {i}\n\n{story}"
+            assert got[300 + i] == "The same page\n\nagain and again"
+
+
 def test_html_deep_paths_have_their_own_nodes(spark):
     deep = "".join(f"<div class='{'long name ' * 8}{k}'>" for k in range(12))  # over 400 characters of path
     html = deep + "<div><p>Menu of the site</p></div><div><p>Story {0} tells of {1}</p></div>"

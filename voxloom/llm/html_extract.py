@@ -10,12 +10,14 @@ feature.  With m pages of the host having an element,
     importance              = (1 - g**l) * presentation + g**l * content,          g = 0.9,
 
 so what a site repeats goes towards 0 and what a page alone says towards 1.  A page's branches below
-``LEAST_IMPORTANCE`` are removed.  Tags that say what they are decide before the statistics do:
-``article``, ``main`` and what they hold are content, except for elements that name themselves
-navigation, header or footer, sidebar, notice, advert, form, script, style or reader comments, which
-are noise everywhere.  All other branches (``div``, ``section``, lists, paragraphs under ``body``) are
-judged by importance; a page that has an article keeps none of them.  With fewer than
-``LEAST_PAGES`` pages of a host there is no evidence, and such a branch stays.
+``LEAST_IMPORTANCE`` are removed, in an ``article`` or ``main`` as elsewhere.  Tags are the prior:
+elements that name themselves navigation, header or footer, sidebar, notice, advert, form, script,
+style or reader comments are noise everywhere (an article only if a whole word of its class, id or
+role does).  ``article`` and ``main`` themselves are never removed, only branches in them, and if those
+would leave nothing, as where a host repeats one page, all stay.  Of what is left, a page keeps what
+is in its articles, and the branches beside them (``div``, ``section``, lists, paragraphs under
+``body``) only if they hold more text, so that the article is not the story.  With fewer than
+``LEAST_PAGES`` pages of a host there is no evidence, and a branch stays.
 
 Scale.  Pages are parsed twice, and no text is shuffled.  The first pass emits hashes of branches,
 styles and features, added up per batch before Spark adds them up by key; a host may hold any share
@@ -84,10 +86,10 @@ class Page:
         at, end = 0, len(source)
 
         def text(value: str) -> None:
-            _, path, noise, _, _, _ = stack[-1]
+            _, path, noise, content, _, _ = stack[-1]
             if not noise:
                 texts.append(_html.unescape(value) if "&" in value else value)
-            elif value.strip():
+            elif not content and value.strip():
                 self.features.setdefault(path, set()).add(value.strip())
 
         def block() -> None:
@@ -97,9 +99,8 @@ class Page:
                 if value:
                     _, path, _, content, around, _ = stack[-1]
                     self.blocks.append((value, content, around))
-                    if not content:
-                        for key in around or (path,):
-                            self.features.setdefault(key, set()).add(value)
+                    for key in around or (path,):
+                        self.features.setdefault(key, set()).add(value)
 
         while at < end:
             tag = _TAG.search(source, at)
@@ -140,37 +141,47 @@ class Page:
                         break
             _, path, noise, content, around, children = stack[-1]
             attributes = tag.group(3)
-            label, bad = name, name in NOISE
+            label, bad, named = name, name in NOISE, False
             if "=" in attributes:
                 for m in _NAMED.finditer(attributes):
                     value = (m.group(2) or m.group(3) or m.group(4) or "").lower()
                     label += "." + value
+                    named = named or not NOISE_WORDS.isdisjoint(value.split())
                     bad = bad or not NOISE_WORDS.isdisjoint(_WORDS.findall(value))
-                if noise and name == "a" and (m := _HREF.search(attributes)):
+                if noise and not content and name == "a" and (m := _HREF.search(attributes)):
                     self.features.setdefault(path, set()).add(m.group(1) or m.group(2) or m.group(3) or "")
-            bad = bad and name not in ("html", "body", "article", "main")
-            if not content:
+            bad = named if name == "article" else bad and name not in ("html", "body", "main")
+            if not (content and noise):
                 self.styles.setdefault(path, []).append(name)
                 if not noise and name in BLOCK:  # siblings of one label are told apart by their order
                     children[label] = children.get(label, -1) + 1
                     label = f"{label}#{children[label]}"
-                path = xxhash.xxh64_hexdigest(f"{path}/{label}".encode("utf-8", "surrogatepass"))
+                if name in BLOCK or not content:
+                    path = xxhash.xxh64_hexdigest(f"{path}/{label}".encode("utf-8", "surrogatepass"))
             if name in VOID:
                 continue
             if name in RAW:
                 close = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                 at = close.end() if close else end
                 continue
-            content = (content or name in CONTENT) and not noise
-            if not content and not noise and not bad and name in BLOCK and name not in ("html", "body"):
+            inside = content or name in CONTENT and not noise and not bad
+            if name in CONTENT and inside and not noise:
+                around = ()
+            elif not noise and not bad and name in BLOCK and name not in ("html", "body"):
                 around = (*around, path)
+            content = inside
             stack.append((name, path, noise or bad, content, around, {}))
         block()
 
     def text(self, low: set[str]) -> str:
         """The main text, where ``low`` has the branches of low importance."""
-        article = any(content for _, content, _ in self.blocks)
-        return "\n\n".join(t for t, content, around in self.blocks if content or not article and low.isdisjoint(around))
+        kept = [(t, content) for t, content, around in self.blocks if low.isdisjoint(around)]
+        size = sum(len(t) for t, content in kept if content)
+        if size == 0 and any(content for _, content, _ in self.blocks):  # all in the articles is repeated: the prior decides
+            kept = [(t, content) for t, content, _ in self.blocks if content]
+        elif size >= sum(len(t) for t, content in kept if not content):
+            kept = [(t, content) for t, content in kept if content]
+        return "\n\n".join(t for t, _ in kept)
 
 
 def _hash(value: str) -> int:
@@ -235,10 +246,8 @@ def low_features(statistics: DataFrame) -> DataFrame:
 
 
 def _branch_rows(site: str, page: Page) -> list[tuple[str, list[tuple[int, int]]]]:
-    """The neutral branches whose blocks might be removed, with their feature keys."""
+    """The branches whose blocks might be removed, with their feature keys."""
     out = []
-    if any(content for _, content, _ in page.blocks):
-        return out
     for path in {key for _, _, around in page.blocks for key in around}:
         element = _hash(f"{site}\n{path}")
         out.append((path, [(element, _hash(f)) for f in page.features.get(path, ())]))
