@@ -101,6 +101,26 @@ def test_watershed():
     assert len(np.unique(got)) == 2 and len({(a, b) for a, b in zip(got.ravel(), labels.ravel(), strict=True)}) == 2
 
 
+def test_watershed_objects_cross_blocks(spark):
+    near = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (3, 0, 0), (0, 3, 0), (0, 0, 3)]
+    labels = np.zeros((12, 8, 16), np.int64)
+    labels[:, 1:7, 1:7], labels[:, 1:7, 9:15] = 1, 2
+    affs = np.zeros((6, *labels.shape))
+    for c, o in enumerate(near):
+        low = tuple(slice(0, n - v) for v, n in zip(o, labels.shape, strict=True))
+        high = tuple(slice(v, n) for v, n in zip(o, labels.shape, strict=True))
+        affs[c][low] = (labels[low] == labels[high]) & (labels[low] > 0)
+    rows = [(*map(int, p), affs[(slice(None), *p)].tolist()) for p in np.ndindex(labels.shape)]
+    df, frame = spark.createDataFrame(rows, "z int, y int, x int, affs array<double>"), Frame((1.0,) * 3, labels.shape)
+    options = {"adjacent_bias": -0.5, "far_biases": -0.5 / 3, "filter_value": 0.05}
+    parts = voxels.to_array(objects.watershed_blocks(df, frame, near, (4, 8, 16), **options), labels.shape)
+    assert len(set(parts[labels > 0].tolist())) == 6  # each object in three blocks
+    for opening in (False, True):
+        got = voxels.to_array(objects.watershed(df, frame, near, (4, 8, 16), 1, opening, **options), labels.shape)
+        assert set(got[3:9, 3:5, 3:5].ravel().tolist()) == {1} and set(got[3:9, 3:5, 11:13].ravel().tolist()) == {2}
+        assert set(got.ravel().tolist()) == {0, 1, 2}
+
+
 def test_shards():
     sharding = shards.Sharding(0, 1, 2)
     own = {i: bytes([i] * (i % 5)) for i in range(40) if sharding.bucket(i)[0] == 1}

@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from voxloom.arrow import runs
 from voxloom.frame import Frame
+from voxloom.operators import components, morphology
 from voxloom.operators.components import local_roots
-from voxloom.operators.voxels import ZYX, offsets, raster, shifted
+from voxloom.operators.graph import components as joined
+from voxloom.operators.voxels import ZYX, numbered, offsets, raster, shifted
+from voxloom.session import durable
 
 Edge = tuple[int, int]
 
@@ -429,8 +432,11 @@ def mutex_watershed(affinities: np.ndarray, neighbourhood: list[tuple[int, int,
     return names[labels].reshape(shape).astype(np.int64)
 
 
-def watershed_blocks(affinities: DataFrame, frame: Frame, neighbourhood: list[tuple[int, int, int]], block: tuple[int, int, int], padding: int | None = None, **options) -> DataFrame:
-    """(z, y, x, label) of fragments from rows (z, y, x, affs array), block by block with a halo; labels are unique by block."""
+def watershed_blocks(affinities: DataFrame, frame: Frame, neighbourhood: list[tuple[int, int, int]], block: tuple[int, int, int], padding: int | None = None, connectivity: int | None = None, opening: bool = False, **options) -> DataFrame:
+    """(z, y, x, label) of fragments from rows (z, y, x, affs array), block by block with a halo; labels are unique by block.
+
+    With a ``connectivity``, each connected part of a fragment is one of its own, after an erosion with ``opening``.
+    """
     halo = max(max(map(abs, o)) for o in neighbourhood) if padding is None else padding
     _, ny, nx = frame.blocks(block)
     spans = []
@@ -453,6 +459,12 @@ def watershed_blocks(affinities: DataFrame, frame: Frame, neighbourhood: list[tu
             dense = np.zeros((values.shape[1], *read.shape))
             dense[(slice(None), *points.T)] = values.T
             labels = mutex_watershed(dense, neighbourhood, **options)
+            if opening:
+                labels = _eroded(labels)
+            if connectivity is not None:
+                places = np.argwhere(labels)
+                if len(places):
+                    labels[tuple(places.T)] = 1 + local_roots(places, labels[tuple(places.T)], offsets(connectivity, half=True))
             inner = tuple(slice(w - r, w - r + s) for w, r, s in zip(write.begin, read.begin, write.shape, strict=True))
             at = np.argwhere(labels[inner])
             found = labels[inner][tuple(at.T)] + index * size
@@ -460,3 +472,38 @@ def watershed_blocks(affinities: DataFrame, frame: Frame, neighbourhood: list[tu
             yield pa.RecordBatch.from_arrays([*(pa.array(at[:, i]) for i in range(3)), pa.array(found)], names=[*ZYX, "label"])
 
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(cut, "z int, y int, x int, label long")
+
+
+def _eroded(labels: np.ndarray) -> np.ndarray:
+    """Labels without the voxels that have one of another label, or the array's border, among their 26 neighbours."""
+    around, keep = np.pad(labels, 1), np.ones(labels.shape, bool)
+    for o in offsets(3):
+        keep &= around[tuple(slice(1 + d, 1 + d + n) for d, n in zip(o, labels.shape, strict=True))] == labels
+    return np.where(keep, labels, 0)
+
+
+def watershed(affinities: DataFrame, frame: Frame, neighbourhood: list[tuple[int, int, int]], block: tuple[int, int, int], connectivity: int = 2, opening: bool = True, least: float = 0, most: float = float("inf"), padding: int | None = None, **options) -> DataFrame:
+    """(z, y, x, label) of objects: fragments that touch across faces of blocks are one, numbered by their first voxel.
+
+    With ``opening`` fragments are eroded before they are joined, which parts those that only touch, and
+    dilated afterwards.  Objects have least <= voxels <= most.  Without it, any fragments that touch
+    across a face are joined, as in the reference.
+    """
+    fragments = watershed_blocks(affinities, frame, neighbourhood, block, padding, connectivity, opening, **options)
+    fragments = durable(fragments.withColumn("block", components._block(frame, block)))
+    on_face = F.lit(False)
+    for c, b in zip(ZYX, block, strict=True):
+        on_face = on_face | (F.col(c) % b == 0) | (F.col(c) % b == b - 1)
+    face = fragments.where(on_face)
+    other = face.select(*ZYX, F.col("label").alias("dst"), F.col("block").alias("b"))
+    edges = shifted(face, offsets(connectivity, half=True), "label", "block").join(other, ZYX).where("b != block").select(F.col("label").alias("src"), "dst")
+    rooted = fragments.join(joined(edges), F.col("label") == F.col("id"), "left").select(*ZYX, F.coalesce("root", "label").alias("root"))
+    sizes = durable(rooted.groupBy("root").agg(F.count("*").alias("n"), F.min(raster(frame)).alias("first")))
+    if not opening:
+        sizes = sizes.where(F.col("n") >= least)
+        sizes = sizes if most == float("inf") else sizes.where(F.col("n") <= most)
+    names = numbered(sizes.select("root", "first"), "first", "id")
+    out = rooted.join(names, "root").select(*ZYX, F.col("id").alias("label"))
+    if opening:
+        out = components.clean_components(morphology.dilate(out, frame, 1, connectivity), frame, least, most)
+    return out

@@ -486,8 +486,8 @@ def skeleton_vertices(s, d):
 @query()
 def mutex_watershed(s, d):
     near = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (3, 0, 0), (0, 3, 0), (0, 0, 3)]
-    affs = _raw(s, d).select(*ZYX, F.expr("transform(sequence(1, 6), i -> ((z * 400 + y * 20 + x) * 7919 * i % 1000) / 1000e0) affs"))
-    return objects.watershed_blocks(affs, _frame(s, d), near, (16, 20, 20), far_biases=-0.2, filter_value=0.3)
+    affs = _raw(s, d).select(*ZYX, F.expr("transform(sequence(1, 6), i -> ((z * 400 + y * 20 + x) * 7919L * i % 1000) / 1000e0) affs"))
+    return objects.watershed(affs, _frame(s, d), near, (16, 20, 20), opening=False, far_biases=-0.2, filter_value=0.3)
 
 
 @query("SELECT DISTINCT label, CAST((label >> 2 >> 1) & 3 AS BIGINT) AS shard, CAST((label >> 2) & 1 AS BIGINT) AS minishard FROM (SELECT o_orderkey % 1000 AS label FROM orders)")
