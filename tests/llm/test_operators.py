@@ -455,6 +455,7 @@ def test_pii(spark, docs, rows, empty):
     found = {r.doc_id: r for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert found[5].spans == found[5].base and found[5].n_ip == 1
     assert all(set(filter(None, r.base.split(","))) <= set(r.spans.split(",")) for r in found.values())
+    assert found[60].base == "" and found[60].spans == "ip:9:21"
     assert found[61].spans == "" and found[62].spans == found[63].spans == ""
 
 
@@ -476,6 +477,76 @@ def test_pii_unseen_shapes_are_learnt(spark):
     assert found.count() == 0
 
 
+def brute_bootstrap(texts, confidence, least_seeds, rounds):
+    """The accepted (side, pattern, shape) -> kind, scored mention by mention."""
+    found = [(k, words, fine, coarse) for t in texts for _, _, k, words, fine, coarse in pii.mentions(t, pii.base_spans(t))]
+    total = Counter((i, w) for _, words, _, _ in found for i, w in enumerate(words))
+    share = {k: n / len(found) for k, n in Counter(f[0] for f in found).items() if k >= 0}
+    of_form = Counter(f for _, _, fine, coarse in found for f in {fine, coarse})
+    weight, accepted = {}, {}
+    for _ in range(rounds):
+        support, believed = Counter(), Counter()
+        for k, words, fine, _ in found:
+            for i, w in enumerate(words):
+                if k >= 0:
+                    support[i, w, k] += 1
+                for kind in share if k < 0 else ():
+                    support[i, w, kind] += weight.get((i, w, fine, kind), 0)
+                    believed[i, w, kind] += weight.get((i, w, fine, kind), 0)
+        score = {key: n / total[key[:2]] for key, n in support.items() if n}
+        telling = {key: total[key[:2]] - support[key] <= (o := total[key[:2]] * (1 - share[key[2]])) - pii.DEVIATIONS * o**0.5 for key in score}
+        part = Counter()
+        for k, words, fine, coarse in found:
+            for i, w in enumerate(words):
+                for f in {fine, coarse}:
+                    for kind in share:
+                        key = i, w, kind
+                        if k >= 0:
+                            part[i, f, kind] += k == kind
+                        elif key in score:
+                            part[i, f, kind] += score[key] if telling[key] else believed[key] / total[key[:2]]
+        belief = {(f, k): max(part[i, f, k] / of_form[f] for i in range(5)) for f in of_form for k in share}
+        accepted, weight = {}, {}
+        unknown = {(i, w, fine, coarse) for k, words, fine, coarse in found if k < 0 for i, w in enumerate(words)}
+        for i, w, fine, coarse in unknown:
+            own = {k: max(belief[fine, k], belief[coarse, k]) for k in share}
+            good = [(score[i, w, k], k) for k in share if (i, w, k) in score and support[i, w, k] >= least_seeds and score[i, w, k] >= confidence and (telling[i, w, k] or own[k] >= confidence)]
+            if good:
+                accepted[i, w, fine] = max(good)[1]
+            for k in share:
+                weight[i, w, fine, k] = own[k] if not good else float(max(good)[1] == k)
+    return accepted
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_pii_scores_by_brute_force(spark, rounds):
+    import xxhash
+
+    own, rng = words(19, 3000), np.random.Generator(np.random.PCG64(3))
+    texts = [f"{own[i]} {'call at'.split()[i % 2]} +1 234 555 {1000 + i} {own[i + 1]}" for i in range(90)]
+    texts += [f"{own[i]} call 555/01{i}/99 {own[i + 9]}" for i in range(10, 18)] + [f"{own[i]} dial 555/02{i}/98 fast" for i in range(10, 34)]
+    texts += [f"{own[i]} host 10.0.{i}.7 {'up' if rng.random() < 0.5 else own[i]} host 300.10.{i}.9" for i in range(40)]
+    texts += [f"{own[i]} order 4821{int(rng.integers(10, 99))} {own[i]}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.side, r.word, r["shape"]): r.k for r in pii.bootstrap(pii.scan(docs), 0.8, 10, rounds).collect()}
+    hashed = lambda v: xxhash.xxh64_intdigest(v) - 2**63
+    expected = {(i, hashed(w), hashed(f)): k for (i, w, f), k in brute_bootstrap(texts, 0.8, 10, rounds).items()}
+    assert got == expected and len(set(got.values())) >= 1
+
+
+def test_pii_inside_failed_matches(spark):
+    own = words(29, 400)
+    texts = [f"{own[i]} +1 (234) 555-{1000 + i} {own[i + 1]}" for i in range(60)]
+    texts += [f"{own[7]} +1 (987) 555-4321 10.20.30.40 {own[8]}", "1 2 " * 4000 + "+1 " * 4000]
+    clashing = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name in ("base", "mentions", "spans", "words", "__row", "side"):
+        clashing = clashing.withColumn(name, F.lit(name))
+    found = {r.doc_id: r for r in pii.detect(clashing).collect()}
+    at = texts[60].find("+1")
+    assert found[60].n_phone == 0 and found[60].n_ip == 1 and f"phone:{at}:{at + 17}" in found[60].spans.split(",")
+    assert found[61].spans == found[61].base
+
+
 def test_pii_linear():
     long = "a" * 200_000 + " " + "1" * 200_000 + " " + "+1 " * 50_000 + "@" * 50_000
     assert pii.base_spans(long) == [[], [], [], []]

@@ -3,39 +3,44 @@
 Base.  Emails, IPv4 addresses, payment cards (Luhn) and international phone numbers, as leftmost
 non-overlapping matches of each kind in the whole text; a match that fails its check is dropped.
 
-Bootstrapping.  Base matches are seeds.  Each mention in the corpus (a seed, or a token run that looks
-like an identifier: five digits or an @ at least, and no part of a base span) has a lexical pattern,
-the kinds of its neighbouring words, and an instance, its shape.  Patterns and instances form a
-bipartite graph with counts.  Starting from seeds (confidence 1 of their kind) and unknown mentions (0),
-Spark scores it in turns: a pattern's confidence in a kind is the count-weighted mean of its
-mentions' (1 of a seed, that of its shape of an unknown one), a shape's confidence the count-weighted
-mean over its mentions (1 of a seed, that of its pattern of an unknown one), on the side that says
-more.  Only patterns that tell more than the corpus does pass on what their seeds say (others relay
-what their unknown mentions are believed): their other mentions are ``DEVIATIONS`` below the number
-that the kind's share of the corpus leads to expect.  Of enough
-support (``LEAST_SEEDS``) and high confidence, they accept the unknown mentions that stand in them as
-new identifiers of the kind, whatever their shape; patterns that do not tell accept only those of a
-shape of high confidence.  What is accepted counts 1 for its pattern in the next of ``ROUNDS``
-rounds, and shapes that gain confidence lift the other patterns they stand in.
-
-Scale.  Each text is scanned once; what stays are spans and hashes.  The graph is aggregated by
-(pattern, shape, kind) on the map side, so a very common context is one row; it is small beside the
-corpus and is only ever joined and aggregated, never collected.
+Bootstrapping.  Base matches are seeds.  Mentions are the seeds, and what else looks like an
+identifier: token runs with five digits or an @ at least, and inside a base match that failed its
+check, each run of tokens with a digit each and 8 to 19 digits in all (a phone number that runs into
+an address, say); none of them touches a base span.  A mention has lexical patterns: the kind of the
+word before it, of the word after it, of the two words before it, of both sides, and its own shape
+(letters as a, digits as 9, and whether it fails a base pattern's check or Luhn's).  Its instance is
+that shape, and the same without lengths.  Patterns and instances form a bipartite graph with counts.
+Starting from seeds (confidence 1 of their kind) and unknown mentions (0), Spark scores it in turns: a
+pattern's confidence in a kind is the count-weighted mean of its mentions' (1 of a seed, that of its
+shape of an unknown one), a shape's confidence the count-weighted mean over its mentions (1 of a seed,
+that of its pattern of an unknown one), by the sort of pattern and the form that say most.  Only
+patterns that tell more than the corpus does pass on what their seeds say (others relay what their
+unknown mentions are believed): their other mentions are ``DEVIATIONS`` below the number that the
+kind's share of the corpus leads to expect.  Of enough support (``LEAST_SEEDS``) and high confidence,
+they accept the unknown mentions that stand in them as new identifiers of the kind, whatever their
+shape; patterns that do not tell accept only those of a shape of high confidence.  What is accepted
+counts 1 for its pattern in the next of ``ROUNDS`` rounds, and shapes that gain confidence lift the
+other patterns they stand in.  Of accepted mentions that overlap, the first stays, of those that begin
+together the longest.
+
+Scale.  Each text is scanned once, in time linear in its length; what stays are spans and 64-bit
+hashes, so no word or shape is cut.  The graph is aggregated by (pattern, shape, kind) on the map side,
+so a very common context is one row; it is small beside the corpus and is only ever joined and
+aggregated, never collected.
 
 Edge cases.  A null text is empty and has no spans.  Rows are judged one by one, so repeated rows and
-null ids have their own results; a corpus without seeds teaches nothing.  All scans are linear in the
-length of a text.
+null ids have their own results; a corpus without seeds teaches nothing.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import small_batches
@@ -59,7 +64,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: The rest of a run of identifier characters from its first digit or @ on.
 _RUN = re.compile(r"[0-9@][A-Za-z0-9@._%+()/-]*")
 _RUN_CHARACTERS = _LOCAL | frozenset("@()/")
-_DIGIT, _LETTERS = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]+")
+_DIGIT, _LETTERS, _TOKEN = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]+"), re.compile(r"[^\x20]+")
 _DIGITS = str.maketrans("", "", "".join(chr(c) for c in range(0x20, 0x3A) if not 0x30 <= c <= 0x39))
 
 
@@ -111,7 +116,17 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 def shape(value: str) -> str:
     """Letters become a, digits 9; runs of one of them count up to 4 and then as many."""
     value = _LETTERS.sub("a", value)
-    return re.sub(r"9{5,}", "9+", _DIGIT.sub("9", value))[:64]
+    return re.sub(r"9{5,}", "9+", _DIGIT.sub("9", value))
+
+
+def forms(value: str) -> tuple[str, str]:
+    """The shape of a mention, marked if a base pattern fits it but not its check, and the shape without lengths."""
+    fine, digits = shape(value), re.sub(r"[^0-9]", "", value)
+    if 16 <= len(digits) <= 19 and _CARD.fullmatch(value) and not luhn(digits):
+        fine += "!"
+    if _IP.fullmatch(value) and not any(_ips(value)):
+        fine += "!"
+    return fine, re.sub(r"9+\+?", "9", fine.rstrip("!"))
 
 
 def _neighbour(word: str) -> str:
@@ -120,17 +135,55 @@ def _neighbour(word: str) -> str:
     return word if 0 < len(word) <= 12 else shape(word)
 
 
+def _before(text: str, at: int, low: int) -> tuple[str, int]:
+    """The word that ends at or before ``at``, and where it begins; words do not reach below ``low``."""
+    while at > low and text[at - 1].isspace():
+        at -= 1
+    end = at
+    while at > low and not text[at - 1].isspace():
+        at -= 1
+    return text[at:end], at
+
+
+def _after(text: str, at: int, high: int) -> str:
+    while at < high and text[at].isspace():
+        at += 1
+    start = at
+    while at < high and not text[at].isspace():
+        at += 1
+    return text[start:at]
+
+
+def _dropped(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of tokens inside base matches that failed their check: a digit in each token, 8 to 19 in all."""
+    for pattern, least, most in ((_PHONE, 8, 15), (_CARD, 0, 19)):
+        if pattern is _PHONE and "+" not in text:
+            continue
+        for m in pattern.finditer(text):
+            if least <= len(m.group().translate(_DIGITS)) <= most:
+                continue
+            tokens = [(t.start(), t.end(), len(_DIGIT.findall(t.group()))) for t in _TOKEN.finditer(text, *m.span())]
+            for i, (start, _, _) in enumerate(tokens):
+                digits = 0
+                for _, end, own in tokens[i:]:
+                    digits += own
+                    if not own or digits > 19:
+                        break
+                    if digits >= 8:
+                        yield start, end
+
+
 def _until(seeds: list[tuple[int, int, int]], at: int, end: int) -> Iterator[tuple[int, int, int]]:
     while at < len(seeds) and seeds[at][0] < end:
         yield seeds[at]
         at += 1
 
 
-def mentions(text: str, base: list[list[tuple[int, int]]]) -> Iterator[tuple[int, int, int, str, str]]:
-    """(start, end, kind or -1, pattern, shape) of the seeds and of what else looks like an identifier."""
+def mentions(text: str, base: list[list[tuple[int, int]]]) -> Iterator[tuple[int, int, int, list[str], str, str]]:
+    """(start, end, kind or -1, patterns, shape, shape without lengths) of the seeds and of what else looks like an identifier."""
     seeds = sorted((s, e, k) for k, own in enumerate(base) for s, e in own)
-    spans = seeds.copy()
-    at = last = 0
+    unknown = set()
+    last = 0
     for m in _RUN.finditer(text):
         s, e = m.span()
         while s > last and text[s - 1] in _RUN_CHARACTERS:
@@ -138,35 +191,47 @@ def mentions(text: str, base: list[list[tuple[int, int]]]) -> Iterator[tuple[int
         last = e
         while e > s + 1 and text[e - 1] in ".%+(/-":
             e -= 1
+        if "@" in text[s:e] or len(_DIGIT.findall(text, s, e)) >= 5:
+            unknown.add((s, e))
+    unknown.update(_dropped(text))
+    spans, at = seeds.copy(), 0
+    for s, e in sorted(unknown):
         while at < len(seeds) and seeds[at][1] <= s:
             at += 1
         # seeds of several kinds may overlap, so those from here on are looked at while they begin before the end
-        if any(b > s for _, b, _ in _until(seeds, at, e)):
-            continue
-        if "@" in text[s:e] or len(_DIGIT.findall(text, s, e)) >= 5:
+        if not any(b > s for _, b, _ in _until(seeds, at, e)):
             spans.append((s, e, -1))
-    for s, e, k in sorted(spans):
-        left = text[max(0, s - 48) : s].split()
-        right = text[e : e + 32].split()
-        glued_left = bool(s) and not text[s - 1].isspace()
-        near = (_neighbour(left[-1]) if left else "^") + ("" if glued_left else " ")
-        after = _neighbour(right[0]) if right else "$"
-        yield s, e, k, f"{near}|{after}", shape(text[s:e])
+    spans.sort()
+    starts = sorted({s for s, _, _ in spans})
+    reached = low = 0
+    for s, e, k in spans:
+        if reached <= s:  # a neighbouring word ends where another mention does
+            low = reached
+        reached = max(reached, e)
+        left, edge = _before(text, s, min(low, s))
+        left2, _ = _before(text, edge, min(low, edge))
+        following = bisect.bisect_left(starts, e)
+        right = _after(text, e, starts[following] if following < len(starts) else len(text))
+        glued = "" if s and not text[s - 1].isspace() else " "
+        near = (_neighbour(left) if left else "^") + glued
+        after = _neighbour(right) if right else "$"
+        fine, coarse = forms(text[s:e])
+        yield s, e, k, [near, after, f"{_neighbour(left2) if left2 else '^'} {near}", f"{near}|{after}", fine], fine, coarse
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, mentions) of each row (doc_id, text).
 
-    base: "kind:start:end" joined by commas.  mentions: (start, end, kind, left, right, shape) with hashed patterns.
+    base: "kind:start:end" joined by commas.  mentions: (start, end, kind, words, shape, coarse), patterns and shapes as hashes.
     """
     import xxhash
 
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    item = pa.struct([("s", pa.int64()), ("e", pa.int64()), ("kind", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("shape", pa.string())])
+    item = pa.struct([("s", pa.int64()), ("e", pa.int64()), ("kind", pa.int32()), ("words", pa.list_(pa.int64())), ("shape", pa.int64()), ("coarse", pa.int64())])
 
     def hashed(value: str) -> int:
-        return xxhash.xxh64_intdigest(value) - 2**63
+        return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) - 2**63
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,29 +241,28 @@ def scan(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 counts.append([len(own) for own in base])
                 bases.append(",".join(f"{k}:{s}:{e}" for k, own in zip(KINDS, base, strict=True) for s, e in own))
-                rows = []
-                for s, e, k, pattern, form in mentions(text, base):
-                    left, right = pattern.split("|", 1)
-                    rows.append({"s": s, "e": e, "kind": k, "left": hashed(left), "right": hashed(right), "shape": form})
-                found.append(rows)
+                found.append([{"s": s, "e": e, "kind": k, "words": list(map(hashed, words)), "shape": hashed(fine), "coarse": hashed(coarse)} for s, e, k, words, fine, coarse in mentions(text, base)])
             n = np.array(counts, np.int64).reshape(-1, len(KINDS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(n[:, i]) for i in range(len(KINDS))), pa.array(bases, pa.string()), pa.array(found, pa.list_(item))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "mentions"])
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select("doc_id", "text").mapInArrow(scanned, f"doc_id {kind}, {counts}, base string, mentions array<struct<s:long,e:long,kind:int,left:long,right:long,shape:string>>")
+    return docs.select("doc_id", "text").mapInArrow(scanned, f"doc_id {kind}, {counts}, base string, mentions array<struct<s:long,e:long,kind:int,words:array<long>,shape:long,coarse:long>>")
 
 
 def bootstrap(scanned: DataFrame, confidence: float = CONFIDENCE, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, shape, kind) of the unknown mentions that are accepted; a pattern is a side (0 left, 1 right) and a hash."""
+    """(side, word, shape, k) of the unknown mentions that are accepted; a pattern is a side (its place in ``words``) and a hash."""
     m = scanned.select(F.explode("mentions").alias("m")).select("m.*")
-    sides = m.select("kind", "shape", F.posexplode(F.array("left", "right")).alias("side", "word"))
-    graph = durable(sides.groupBy("side", "word", "shape", "kind").agg(F.count("*").alias("n")))
+    sides = m.select("kind", "shape", "coarse", F.posexplode("words").alias("side", "word"))
+    graph = durable(sides.groupBy("side", "word", "shape", "coarse", "kind").agg(F.count("*").alias("n")))
+    each_form = F.explode(F.array_distinct(F.array("shape", "coarse"))).alias("form")
     seeds = graph.where("kind >= 0").groupBy("side", "word", F.col("kind").alias("k")).agg(F.sum("n").alias("support"), F.lit(0.0).alias("believed"))
     totals = graph.groupBy("side", "word").agg(F.sum("n").alias("total"))
-    unknown = graph.where("kind < 0").select("side", "word", "shape", F.col("n").alias("unknown"))
-    asked = unknown.select("shape").distinct()
-    seeded = graph.where("kind >= 0").join(asked, "shape", "left_semi").groupBy("side", "shape", F.col("kind").alias("k")).agg(F.sum("n").alias("part"))
-    of_shape = graph.where("side = 0").join(asked, "shape", "left_semi").groupBy("shape").agg(F.sum("n").alias("of_shape"))
+    unknown = graph.where("kind < 0").select("side", "word", "shape", "coarse", F.col("n").alias("unknown"))
+    pairs = unknown.select("shape", "coarse").distinct().select("shape", "coarse", each_form)
+    asked = pairs.select("form").distinct()
+    formed = graph.select("side", "kind", "n", each_form).join(asked, "form", "left_semi")
+    seeded = formed.where("kind >= 0").groupBy("side", "form", F.col("kind").alias("k")).agg(F.sum("n").alias("part"))
+    of_form = formed.where("side = 0").groupBy("form").agg(F.sum("n").alias("of_form"))
     shares = graph.where("side = 0").groupBy("kind").agg(F.sum("n").alias("n")).join(graph.where("side = 0").agg(F.sum("n").alias("all")))
     shares = F.broadcast(shares.where("kind >= 0").select(F.col("kind").alias("k"), (F.col("n") / F.col("all")).alias("share")))
     accepted = weights = None
@@ -211,9 +275,10 @@ def bootstrap(scanned: DataFrame, confidence: float = CONFIDENCE, least_seeds: i
         others = F.col("total") * (1 - F.col("share"))  # mentions that are not of the kind, were the pattern like the corpus
         telling = F.col("total") - F.col("support") <= others - DEVIATIONS * F.sqrt(others)
         met = durable(unknown.join(patterns.select("side", "word", "k", "score", "support", (F.col("believed") / F.col("total")).alias("relayed"), telling.alias("telling")), ["side", "word"]))
-        parts = met.select("side", "shape", "k", (F.col("unknown") * F.when(F.col("telling"), F.col("score")).otherwise(F.col("relayed"))).alias("part")).union(seeded.select("side", "shape", "k", "part"))
-        shapes = parts.groupBy("side", "shape", "k").agg(F.sum("part").alias("part")).join(of_shape, "shape")
-        shapes = durable(shapes.groupBy("shape", "k").agg(F.max(F.col("part") / F.col("of_shape")).alias("belief")))
+        parts = met.select("side", each_form, "k", (F.col("unknown") * F.when(F.col("telling"), F.col("score")).otherwise(F.col("relayed"))).alias("part")).union(seeded.select("side", "form", "k", "part"))
+        believed_forms = parts.groupBy("side", "form", "k").agg(F.sum("part").alias("part")).join(of_form, "form")
+        believed_forms = believed_forms.groupBy("form", "k").agg(F.max(F.col("part") / F.col("of_form")).alias("belief"))
+        shapes = durable(pairs.join(believed_forms, "form").groupBy("shape", "k").agg(F.max("belief").alias("belief")))
         good = met.where((F.col("support") >= least_seeds) & (F.col("score") >= confidence)).join(shapes, ["shape", "k"])
         good = good.where(F.col("telling") | (F.col("belief") >= confidence))
         accepted = durable(good.groupBy("side", "word", "shape").agg(F.max(F.struct("score", "k"))["k"].alias("k")))
@@ -229,8 +294,10 @@ def detect(docs: DataFrame, confidence: float = CONFIDENCE, least_seeds: int = L
     accepted = bootstrap(scanned, confidence, least_seeds, rounds)
     rows = scanned.withColumn("__row", F.xxhash64("doc_id", "base", "mentions"))
     unknown = rows.select("__row", F.explode(F.filter("mentions", lambda x: x["kind"] < 0)).alias("m")).distinct()
-    unknown = unknown.select("__row", "m.s", "m.e", "m.shape", F.posexplode(F.array("m.left", "m.right")).alias("side", "word"))
+    unknown = unknown.select("__row", "m.s", "m.e", "m.shape", F.posexplode("m.words").alias("side", "word"))
     new = unknown.join(accepted, ["side", "word", "shape"]).groupBy("__row", "s", "e").agg(F.min("k").alias("k"))
+    earlier = Window.partitionBy("__row").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("reached", F.coalesce(F.max("e").over(earlier), F.lit(0).cast("long"))).where("s >= reached")
     new = new.groupBy("__row").agg(F.collect_list(F.struct("k", "s", "e")).alias("new"))
     out = rows.join(new, "__row", "left")
     own = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
@@ -250,8 +317,3 @@ def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
     found = detect(docs)
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
-
-
-def base_sha256(text: str) -> str:
-    """The digest of one text's base spans, for tests."""
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, own in zip(KINDS, base_spans(text), strict=True) for s, e in own).encode()).hexdigest()
