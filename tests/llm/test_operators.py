@@ -322,6 +322,64 @@ def test_html_deep_paths_have_their_own_nodes(spark):
     assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == {i: f"Story {i} tells of {i * i}" for i in range(12)}
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p><a title=don't>Start</a> middle</p><p>end it's</p></article>", "Start middle\n\nend it's"),
+        ("<body><script>x</script foo><article><p>Story</p></article>", "Story"),
+        ("<div class='layout has-sidebar'><article><p>Story</p></article></div>", "Story"),
+        ("<div class='sidebar'><article><p>Story</p></article></div>", "Story"),
+        ("<article><section class='legal-analysis'><p>A</p></section><p class='notice-period'>B</p><div class='ad-slot'>C</div><div id=cookie-notice>D</div></article>", "A\n\nB"),
+        ("<div class=ad>Buy</div>", ""),
+        ("<nav><article>menu</article></nav>", ""),
+        ("<article><p title='a>b' x=\"c>d\" y = z>T</p><p a=>U</p><br/><img src=x/>V<a href=/x/>W</a></article>", "T\n\nU\n\nVW"),
+        ("<article>x<p title=\"unclosed>rest", "x"),
+    ],
+)
+def test_html_loses_no_text(html, text):
+    assert html_extract.Page(html).text(set()) == text
+
+
+def brute_style_tree(pages):
+    """The texts of (url, html) pages, each element's importance worked out page by page."""
+    parsed = [(url.split("/")[2], html_extract.Page(html)) for url, html in pages]
+    shows, styles, features = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for site, page in parsed:
+        for path in page.styles.keys() | page.features.keys():
+            shows[site, path] += 1
+            styles[site, path][tuple(page.styles.get(path, ()))] += 1
+            features[site, path].update(page.features.get(path, ()))
+    out = []
+    for site, page in parsed:
+        gone = set()
+        for path in {p for _, _, around in page.blocks for p in around}:
+            m, own = shows[site, path], page.features.get(path, ())
+            if m >= html_extract.LEAST_PAGES and own:
+                shares = [n / m for n in styles[site, path].values()]
+                presentation = min(1.0, -sum(p * np.log(p) / np.log(m) for p in shares))
+                weight = html_extract.DAMPING ** len(shares)
+                each = [(1 - weight) * presentation + weight * (1 - np.log(features[site, path][f]) / np.log(m)) if features[site, path][f] > 1 else 1.0 for f in own]
+                if np.mean(each) < html_extract.LEAST_IMPORTANCE:
+                    gone.add(path)
+        out.append(page.text(gone))
+    return out
+
+
+def test_html_agrees_with_a_brute_force_tree(spark):
+    rng = np.random.Generator(np.random.PCG64(12))
+    boxes = ["<div class='c1'><p>Read us daily</p></div>", "<section><p>All rights kept</p><p>by us</p></section>", "<ul><li>one</li><li>two</li></ul>", "<div><p>Part {k}</p></div>", "<div><p>Own {i}</p><p>word {j}</p></div>"]
+    pages = []
+    for i in range(60):
+        own = [boxes[b].format(i=i, j=i * i, k=i % 4) for b in rng.permutation(len(boxes))[: rng.integers(1, 6)]]
+        wrap = ["<body>{}</body>", "<main>{}</main>", "<body><article>{}</article></body>", "<body><article><p>T</p></article>{}</body>"][i % 4]
+        pages.append((f"http://h{i % 3}.org/{i}", wrap.format("".join(own))))
+    expected = brute_style_tree(pages)
+    assert expected != [html_extract.Page(h).text(set()) for _, h in pages]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string").withColumn("element", F.lit(1)).withColumn("gone", F.lit(2))
+    for most in (3, 100_000):
+        assert [r.text for r in html_extract.extract(df, most).orderBy("page_id").collect()] == expected
+
+
 # --- 6 -----------------------------------------------------------------------------------------
 
 

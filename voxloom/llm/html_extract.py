@@ -1,9 +1,10 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host's pages are merged into one tree (Yi, Liu and Li, 2003).  Its element nodes are the
-paths (as running hashes, of any depth) of tags with class and id (and their order among like siblings); under an element, each distinct sequence of child tags that pages
-show there is a presentation style, and each distinct text or link target of a leaf is a content
-feature.  With m pages of the host having an element,
+paths (as running hashes, of any depth) of tags with class and id (and their order among like
+siblings); under an element, each distinct sequence of child tags that pages show there is a
+presentation style, and each distinct text or link target of a leaf is a content feature.  With m
+pages of the host having an element,
 
     presentation importance = entropy (base m) of the shares of its l styles,
     content importance      = mean over a page's own features of 1 - log_m(pages that have the feature),
@@ -12,12 +13,15 @@ feature.  With m pages of the host having an element,
 so what a site repeats goes towards 0 and what a page alone says towards 1.  A page's branches below
 ``LEAST_IMPORTANCE`` are removed, in an ``article`` or ``main`` as elsewhere.  Tags are the prior:
 elements that name themselves navigation, header or footer, sidebar, notice, advert, form, script,
-style or reader comments are noise everywhere (an article only if a whole word of its class, id or
-role does).  ``article`` and ``main`` themselves are never removed, only branches in them, and if those
-would leave nothing, as where a host repeats one page, all stay.  Of what is left, a page keeps what
-is in its articles, and the branches beside them (``div``, ``section``, lists, paragraphs under
-``body``) only if they hold more text, so that the article is not the story.  With fewer than
-``LEAST_PAGES`` pages of a host there is no evidence, and a branch stays.
+style or reader comments are noise everywhere.  A class, id or role names an element so if one of its
+words consists of such names and of words for boxes alone (``ad-slot``, but not ``has-sidebar`` or
+``legal-analysis``); an article is noise only if a whole word is such a name.  Where that would leave
+a page without any text though it has an article, names count for nothing.  ``article`` and ``main``
+themselves are never removed, only branches in them, and if those would leave nothing, as where a
+host repeats one page, all stay.  Of what is left, a page keeps what is in its articles, and the
+branches beside them (``div``, ``section``, lists, paragraphs under ``body``) only if they hold more
+text, so that the article is not the story.  With fewer than ``LEAST_PAGES`` pages of a host there is
+no evidence, and a branch stays.
 
 Scale.  Pages are parsed twice, and no text is shuffled.  The first pass emits hashes of branches,
 styles and features, added up per batch before Spark adds them up by key; a host may hold any share
@@ -59,12 +63,25 @@ ENDS = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {
 #: Words in a class, id or role that name noise.
 NOISE_WORDS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup login share sharing social related recommended comment comments respond reply replies disqus widget toolbar pagination pager copyright legal disclaimer".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']+|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
-_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
+#: Words for boxes, which say nothing about what is in one.
+BOX_WORDS = set("area bar block box button container form group inner item items left link links list outer panel right row section slot text title top bottom unit widget wrap wrapper zone".split())
+
+_VALUE = r"(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)"
+#: Comments, declarations and tags; a quote opens a value only after an equals sign.
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?)?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*))?)?+", re.S)
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
+def names_noise(value: str) -> bool:
+    """Whether a word of a class, id or role consists of names of noise, one at least, and of words for boxes."""
+    for word in value.split():
+        parts = _WORDS.findall(word)
+        if not NOISE_WORDS.isdisjoint(parts) and all(p in NOISE_WORDS or p in BOX_WORDS for p in parts):
+            return True
+    return False
+
+
 class Page:
     """One parsed page: its blocks of text, each with the branch it stands in, and what its branches show.
 
@@ -75,8 +92,14 @@ class Page:
     __slots__ = ("blocks", "features", "styles")
 
     def __init__(self, source: str):
+        if self._parse(source, True) and not self.blocks:  # names of wrappers hide an article and all else
+            self._parse(source, False)
+
+    def _parse(self, source: str, by_name: bool) -> bool:
+        """Parse the page; whether an element that is noise only by a name has an article in it."""
         import xxhash
 
+        hidden = False
         self.blocks: list[tuple[str, bool, tuple[str, ...]]] = []
         self.features: dict[str, set[str]] = {}
         self.styles: dict[str, list[str]] = {}
@@ -141,16 +164,18 @@ class Page:
                         break
             _, path, noise, content, around, children = stack[-1]
             attributes = tag.group(3)
-            label, bad, named = name, name in NOISE, False
+            label, bad = name, name in NOISE
             if "=" in attributes:
-                for m in _NAMED.finditer(attributes):
-                    value = (m.group(2) or m.group(3) or m.group(4) or "").lower()
-                    label += "." + value
-                    named = named or not NOISE_WORDS.isdisjoint(value.split())
-                    bad = bad or not NOISE_WORDS.isdisjoint(_WORDS.findall(value))
-                if noise and not content and name == "a" and (m := _HREF.search(attributes)):
-                    self.features.setdefault(path, set()).add(m.group(1) or m.group(2) or m.group(3) or "")
-            bad = named if name == "article" else bad and name not in ("html", "body", "main")
+                for m in _ATTRIBUTE.finditer(attributes):
+                    kind, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+                    if kind in ("class", "id", "role"):
+                        value = value.lower()
+                        label += "." + value
+                        if by_name and not bad and name not in ("html", "body", "main"):
+                            bad = not NOISE_WORDS.isdisjoint(value.split()) if name == "article" else names_noise(value)
+                    elif kind == "href" and noise and not content and name == "a":
+                        self.features.setdefault(path, set()).add(value)
+            hidden = hidden or noise and name in CONTENT
             if not (content and noise):
                 self.styles.setdefault(path, []).append(name)
                 if not noise and name in BLOCK:  # siblings of one label are told apart by their order
@@ -161,7 +186,7 @@ class Page:
             if name in VOID:
                 continue
             if name in RAW:
-                close = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = close.end() if close else end
                 continue
             inside = content or name in CONTENT and not noise and not bad
@@ -172,6 +197,7 @@ class Page:
             content = inside
             stack.append((name, path, noise or bad, content, around, {}))
         block()
+        return hidden
 
     def text(self, low: set[str]) -> str:
         """The main text, where ``low`` has the branches of low importance."""
