@@ -11,7 +11,9 @@ pages of the host having an element,
     importance              = (1 - g**l) * presentation + g**l * content,          g = 0.9,
 
 so what a site repeats goes towards 0 and what a page alone says towards 1.  A page's branches below
-``LEAST_IMPORTANCE`` are removed, in an ``article`` or ``main`` as elsewhere.  Tags are the prior:
+``LEAST_IMPORTANCE`` are removed, in an ``article`` or ``main`` as elsewhere; but headings and paragraphs
+of an article are its content, however often a site repeats them, and only boxes around them are
+judged there.  Tags are the prior:
 elements that name themselves navigation, header or footer, sidebar, notice, advert, form, script,
 style or reader comments are noise everywhere.  A class, id or role names an element so if one of its
 words consists of such names and of words for boxes alone (``ad-slot``, but not ``has-sidebar`` or
@@ -57,6 +59,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title iframe".split())
 NOISE = set("nav header footer aside form script style noscript template iframe svg canvas object select option button textarea title head menu dialog fieldset label input".split())
 CONTENT = set("article main".split())
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 #: An open element of these ends when the next of the listed ones begins.
 ENDS = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -192,7 +195,7 @@ class Page:
             inside = content or name in CONTENT and not noise and not bad
             if name in CONTENT and inside and not noise:
                 around = ()
-            elif not noise and not bad and name in BLOCK and name not in ("html", "body"):
+            elif not noise and not bad and name in BLOCK and name not in ("html", "body") and not (content and name in PROSE):
                 around = (*around, path)
             content = inside
             stack.append((name, path, noise or bad, content, around, {}))
