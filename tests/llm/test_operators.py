@@ -171,11 +171,13 @@ def test_skipped_shards_hold_no_links():
 
 
 def brute_mix(rows):
-    docs = [(i, s, len(WORD.findall(t or ""))) for i, t, s in rows]
+    """(doc_id, source, size, taken by pass) of each row (doc_id, text, source), the sums, and the targets."""
+    docs = [(i, s, len(WORD.findall(t or "")), int(hashlib.md5(f"{'' if i is None else i}|{t or ''}".encode()).hexdigest()[:15], 16)) for i, t, s in rows]
     sums = Counter()
-    for _, s, n in docs:
+    for _, s, n, _ in docs:
         sums[s] += n
-    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sums, key=lambda s: (s is None, s)))}
+    place = {s: k for k, s in enumerate(sorted(sums, key=lambda s: (s is None, s or "")))}
+    weight = {s: float((5, 2, 1)[k % 3]) for s, k in place.items()}
     target, free, left = {}, set(sums), float(sum(sums.values()))
     while free:
         share = left / sum(weight[s] for s in free)
@@ -186,27 +188,40 @@ def brute_mix(rows):
         target |= {s: 3.0 * sums[s] for s in full}
         left -= sum(3 * sums[s] for s in full)
         free -= full
-    return docs, sums, target
+    copies, before = [], Counter()
+    for k in sorted(range(len(docs)), key=lambda k: (docs[k][3], docs[k][0] is not None, docs[k][0] or 0, docs[k][2])):
+        _, s, n, _ = docs[k]
+        copies += [((before[s] + n + lap * sums[s]) / weight[s], place[s], k, lap, n) for lap in range(3) if n]
+        before[s] += n
+    taken, room = defaultdict(lambda: [0, 0, 0]), sum(sums.values())
+    for _, _, k, lap, n in sorted(copies):
+        taken[k][lap] = max(0, min(n, room))
+        room -= n
+    return [(i, s, n, taken[k]) for k, (i, s, n, _) in enumerate(docs)], sums, target
 
 
 def test_mixing(docs, rows, empty):
     plain, sums, target = brute_mix([(r[0], r[1], r[3]) for r in rows])
     out = mixing.mix(docs).collect()
-    assert key([(r.doc_id, r.size) for r in out]) == key([(i, n) for i, _, n in plain])
+    assert key([(r.doc_id, r.size, r.taken) for r in out]) == key([(i, n, sum(t)) for i, _, n, t in plain])
     taken = Counter()
     for r in out:
         assert r.source_size == sums[r.source] and r.target == pytest.approx(target[r.source]) and 0 <= r.taken <= 3 * r.size
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 1 for s in sums)
+    longest = max(n for _, _, n, _ in plain)
+    assert sum(taken.values()) == sum(sums.values()) and all(abs(taken[s] - target[s]) <= longest for s in sums)
     again = mixing.mix(docs.repartition(5)).collect()
     assert key([(r.doc_id, r.size, r.taken) for r in out]) == key([(r.doc_id, r.size, r.taken) for r in again])
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
-    mixed = mixing.mixed(docs)
-    assert mixed.columns == docs.columns
-    served = Counter()
-    for r in mixed.collect():
-        served[r.source] += len(WORD.findall(r.text or ""))
-    assert all(abs(served[s] - target[s]) <= 9100 for s in sums)
+    assert {r.taken for r in mixing.mix(docs.where("doc_id >= 78 and doc_id < 81")).collect()} == {0}  # no words at all
+    for some in (docs, docs.where("doc_id is not null and doc_id != 4"), docs.withColumn("key", F.lit(1)).withColumn("__key", F.lit(2)).withColumn("copies", F.lit(3))):
+        mixed = mixing.mixed(some)
+        assert mixed.columns == some.columns
+    served = Counter((r.doc_id, r.text) for r in mixing.mixed(docs).collect())
+    expected = Counter()
+    for (i, t, *_), (_, _, n, laps) in zip(rows, plain, strict=True):
+        expected[i, t] += sum(2 * v >= n for v in laps) if n else 0
+    assert served == +expected
 
 
 # --- 4 -----------------------------------------------------------------------------------------
@@ -409,7 +424,18 @@ def test_minhash(docs, rows, empty, monkeypatch, block):
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)
     assert minhash_dedup.near_duplicates(empty, 4).count() == 0
-    assert minhash_dedup.deduplicated(docs, 4).columns == docs.columns
+
+
+def test_deduplicated_by_row(spark, empty):
+    a, b, c = (" ".join(words(k, 60)) for k in (71, 72, 73))
+    rows = [(1, a), (7, a), (7, b), (9, c), (9, c), (None, c), (None, c), (None, None), (12, ""), (12, ""), (None, " ".join(words(74, 60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("__key", F.lit(2)).withColumn("__gone", F.lit(3)).withColumn("row", F.lit(4))
+    got = minhash_dedup.deduplicated(df)
+    assert got.columns == df.columns
+    assert key([(r.doc_id, r.text) for r in got.collect()]) == key([(1, a), (7, b), (9, c), (None, None), (12, ""), (12, ""), rows[-1]])
+    found = Counter((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df).collect())
+    assert found == Counter([(1, 1, True), (7, 1, False), (7, 7, True), (9, 9, True), (9, 9, True), (None, None, True), (None, None, True), (None, None, True), (None, None, True), (12, 12, True), (12, 12, True)])
+    assert minhash_dedup.deduplicated(empty).count() == 0
 
 
 def test_multi_index_guarantee():
@@ -436,8 +462,11 @@ def test_lines(docs, rows, empty):
     assert expected == Counter(tuple(r) for r in line_dedup.digest(docs).collect())
     assert any(k[2] for k in expected)
     assert line_dedup.digest(empty).count() == 0
-    whole = line_dedup.without_common_lines(docs)
-    assert whole.columns == docs.columns and whole.count() == len(rows)
+    clashing = docs.withColumn("lines", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("row", F.lit(3)).withColumn("positions", F.lit(4)).withColumn("__text", F.lit(5))
+    whole = line_dedup.without_common_lines(clashing)
+    assert whole.columns == clashing.columns
+    cut = Counter((r[0], "\n".join(x for x, k in zip((r[1] or "").split("\n"), keys(r[1]), strict=True) if not k or count[k] < 10)) for r in rows)
+    assert cut == Counter((r.doc_id, r.text or "") for r in whole.collect())
 
 
 # --- 8 -----------------------------------------------------------------------------------------
@@ -637,7 +666,28 @@ def test_quality(spark, docs, rows, empty):
         expected[(i, n, *rest, repeated, failed, not failed)] += 1
     assert expected == Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in out)
     assert quality_rules.judge(empty, labels).count() == 0
-    assert quality_rules.accepted(docs, labels).columns == docs.columns
+    clashing = docs.withColumn("__a", F.lit(1)).withColumn("g", F.lit(2)).withColumn("w", F.lit(3)).withColumn("row", F.lit(4)).withColumn("extra", F.lit(5)).withColumn("kept", F.lit(6))
+    kept = quality_rules.accepted(clashing, labels)
+    assert kept.columns == clashing.columns and quality_rules.judge(clashing, labels).count() == len(rows)
+    good = Counter()
+    for i, text, *_ in rows:
+        n, *_, repeated = brute_statistics(text or "")
+        good[i, text] += not (n < 50 or 100 * repeated > 50 * n)
+    assert +good == Counter((r.doc_id, r.text) for r in kept.collect())
+
+
+def test_quality_rules_of_two_conditions(spark):
+    """Neither condition rejects alone: long words are bad only in documents of few words."""
+    data, labels = [], []
+    for i in range(900):
+        long, short = i % 2 == 0, i % 4 < 2
+        own = [w + ("long" * 3 if long else "") for w in words(i, 80 if short else 400)]
+        data.append((i, " ".join(own)))
+        labels.append((i, int(not (long and short)), 0))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = quality_rules.judge(docs, spark.createDataFrame(labels[:700], "doc_id long, quality int, toxic int")).collect()
+    assert all(r.kept == bool(labels[r.doc_id][1]) for r in got)
+    assert all(" and " in r.rule for r in got if not r.kept)
 
 
 def test_quality_rules_are_learnt(spark):

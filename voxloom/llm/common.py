@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxloom.session import written
+
 #: The white space that parts words everywhere in this subpackage: 0x20 and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"
 #: A word, as Java and DuckDB regular expressions write it.
@@ -27,9 +27,22 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def row_order(column: Column) -> Column:
-    """A pseudo-random but lasting rank of a row by its id: 60 bits of the id's MD5, which SQL engines share."""
-    return F.conv(F.substring(F.md5(F.coalesce(column.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def row_order(doc_id: Column, text: Column) -> Column:
+    """A pseudo-random but lasting rank of a row by its id and text: 60 bits of their MD5, which SQL engines share."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(key, row) of each row of ``docs``, and whether keys are its ids; keys are unique and last.
+
+    Where ids are integers, none is null and none repeats, they are the keys.  Otherwise rows are
+    numbered and written once, so that equal rows are told apart the same way each time they are read.
+    """
+    if docs.schema["doc_id"].dataType.typeName() in ("long", "integer"):
+        if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() == 0:
+            return docs.select(F.col("doc_id").cast("long").alias("key"), F.struct("*").alias("row")), True
+    return written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row"))), False
 
 
 def running_before(df: DataFrame, keys: Sequence[str], order: str, then: Sequence[str], values: dict[str, str], rows: int, per_bucket: int = 5_000) -> DataFrame:
@@ -56,28 +69,6 @@ def running_before(df: DataFrame, keys: Sequence[str], order: str, then: Sequenc
     return out.select(*(c for c in df.columns if c != "__bucket"), *((F.col(f"__base_{new}") + F.col(f"__in_{new}")).alias(new) for new in values))
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
-    """The groups of neighbouring rows with equal integer ``keys``, of batches in which those rows stand together."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = pa.Table.from_batches([batch])
-        held = pa.concat_tables([rest, part]).combine_chunks() if rest is not None else part
-        change = np.zeros(held.num_rows, bool)
-        for k in keys:
-            column = held.column(k).to_numpy()
-            change[1:] |= column[1:] != column[:-1]
-        cuts = np.flatnonzero(change)
-        start = 0
-        for cut in cuts:
-            yield held.slice(start, int(cut) - start)
-            start = int(cut)
-        rest = held.slice(start)
-    if rest is not None:
-        yield rest
-
-
 def union_find(n: int) -> tuple[Callable[[int], int], Callable[[int, int], bool]]:
     """find(i), and join(i, j), which is False if they were together; the smaller index becomes the root."""
     parent = list(range(n))

@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import runs, small_batches, union_find
+from voxloom.arrow import runs
+from voxloom.llm.common import small_batches, union_find
 from voxloom.operators.graph import components
 from voxloom.session import durable
 

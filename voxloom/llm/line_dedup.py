@@ -12,7 +12,8 @@ only behind a count of its rows.
 
 Edge cases.  Null and empty texts are one empty line.  Empty keys are never dropped.  Each row is a
 document of its own when lines are counted; rows that agree in doc_id and text (null ids included)
-share one result.  An empty table gives an empty result.
+share one result.  An empty table gives an empty result.  Extra columns, whatever their names, are
+carried along by ``without_common_lines``.
 """
 
 from __future__ import annotations
@@ -46,28 +47,28 @@ def dropped_positions(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, l
 
 
 def _joined(docs: DataFrame, least_documents: int, least_length: int) -> DataFrame:
-    """``docs`` with the columns __lines and __kept, the positions that stay."""
-    gone = dropped_positions(docs, least_documents, least_length)
-    out = docs.withColumn("__hash", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
-    out = out.withColumn("__lines", lines(F.col("text")))
-    everything = F.sequence(F.lit(0), F.size("__lines") - 1)
-    return out.withColumn("__kept", F.when(F.col("positions").isNull(), everything).otherwise(F.array_except(everything, "positions")))
+    """(row, lines, kept) of each row of ``docs``: all its columns, its lines, the positions that stay (null: all)."""
+    gone = dropped_positions(docs.select("doc_id", "text"), least_documents, least_length)
+    rows = docs.select(F.struct("*").alias("row"))
+    out = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("row.text") == F.col("__text")), "left")
+    out = out.select("row", lines(F.col("row.text")).alias("lines"), "positions")
+    return out.select("row", "lines", F.when(F.col("positions").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "positions")).alias("kept"))
 
 
 def _text() -> Column:
-    kept = F.array_join(F.transform("__kept", lambda i: F.get(F.col("__lines"), i)), "\n")
-    return F.when(F.col("positions").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
+    return F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n")
 
 
 def digest(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_length: int = LEAST_LENGTH) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of each row (doc_id, text)."""
     out = _joined(docs.select("doc_id", "text"), least_documents, least_length)
-    n = F.size("__lines").cast("long")
-    return out.select("doc_id", n.alias("n_lines"), (n - F.size("__kept")).cast("long").alias("n_dropped"), F.sha2(_text().cast("binary"), 256).alias("kept_sha256"))
+    n = F.size("lines").cast("long")
+    text = F.coalesce(_text(), F.col("row.text"), F.lit(""))
+    return out.select("row.doc_id", n.alias("n_lines"), F.when(F.col("kept").isNull(), 0).otherwise(n - F.size("kept")).cast("long").alias("n_dropped"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
 def without_common_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_length: int = LEAST_LENGTH) -> DataFrame:
     """The rows of ``docs`` with all its columns, the text without its dropped lines; texts that lose none stay as they are."""
     out = _joined(docs, least_documents, least_length)
-    text = F.when(F.col("positions").isNull(), F.col("text")).otherwise(_text())
-    return out.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    text = F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(_text())
+    return out.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

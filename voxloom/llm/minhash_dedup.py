@@ -22,10 +22,13 @@ deviation of 3.2; more than 25 come once in ten thousand such pairs, and rarer a
 Scale.  Rows that carry texts are shuffled only for documents in clusters.  A bucket or cluster of any
 size is cut into blocks.  Tables needed twice are checkpointed.
 
+Links are confirmed on the full sets of 64-bit hashes of shingles.
+
 Edge cases.  Null and empty texts and texts without words have an empty set and link with nothing; a
-text with fewer words than the shingle width is one shingle.  Of rows that repeat a doc_id each has the
-component of its own text, and equal rows share all.  Rows whose doc_id is null link with nothing, have
-a null component and are kept.  An empty table gives an empty result.
+text with fewer words than the shingle width is one shingle.  Rows that repeat a doc_id are rows of
+their own: each has the component of its own text.  Rows whose doc_id is null link with nothing, have
+a null component and are kept by ``near_duplicates``; ``deduplicated`` groups them like any other.  An
+empty table gives an empty result.  Extra columns are carried along by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -37,10 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.arrow import runs
 from voxloom.llm import textkernels as tk
-from voxloom.llm.common import runs, small_batches, union_find
+from voxloom.llm.common import keyed, small_batches, union_find
 from voxloom.operators.graph import components
-from voxloom.session import checked_broadcast, durable
+from voxloom.session import checked_broadcast, durable, written
 
 SYMBOLS, CHUNKS, DISTANCE = 64, 13, 25
 #: Documents of a block of a cluster; signatures of a block of a bucket; landmarks of a cluster, about.
@@ -274,11 +278,8 @@ def links(docs: DataFrame, classes: DataFrame, width: int, numerator: int, denom
     return found.union(_verify(both, width, numerator, denominator))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row (doc_id, text).
-
-    Links are pairs with denominator * intersection >= numerator * union of their sets of ``width``-word shingles.
-    """
+def _grouped(docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """As ``near_duplicates``, of rows whose ids repeat nowhere but for null."""
     small_batches(docs.sparkSession, 1024)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = durable(signatures(docs, width))
@@ -292,7 +293,41 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERA
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row (doc_id, text).
+
+    Links are pairs with denominator * intersection >= numerator * union of their sets of ``width``-word shingles.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
+        return _grouped(docs, width, numerator, denominator)
+    # Ids repeat: rows are grouped by numbers of their own, and a component is named by the smallest id in it.
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()))
+    found = _grouped(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text"), width, numerator, denominator)
+    found = durable(found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("component")))
+    ids = found.where("row is not null").join(rows.select("row", "doc_id"), "row")
+    names = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = ids.join(names, "component").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(found.where("row is null").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+
+
 def deduplicated(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """The rows of ``docs`` but for the documents that are not the first of their component."""
-    gone = near_duplicates(docs, width, numerator, denominator).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each component: that of the smallest id, a null id after all others; rows without words all stay.
+
+    Decided row by row, also where ids repeat or are null: of equal rows one stays.
+    """
+    rows, are_ids = keyed(docs)
+    found = near_duplicates_of_rows(rows, width, numerator, denominator)
+    if not are_ids:
+        found = durable(found)
+        ids = rows.select(F.col("key").alias("__key"), F.col("row.doc_id").alias("id"))
+        first = found.join(ids, F.col("key") == F.col("__key")).groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key"))["key"].alias("first"))
+        found = found.join(first, "component").select("key", F.col("first").alias("component"))
+    gone = checked_broadcast(durable(found.where("key != component").select(F.col("key").alias("__gone"))))
+    return rows.join(gone, F.col("key") == F.col("__gone"), "left_anti").select("row.*")
+
+
+def near_duplicates_of_rows(rows: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """(key, component) of each of the rows (key, row) that has words; a component is named by its smallest key."""
+    found = _grouped(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), width, numerator, denominator)
+    return found.where("n_shingles > 0").select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))

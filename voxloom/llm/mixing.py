@@ -1,22 +1,24 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-The documents of a source queue in the order of a hash of their id, and the queue may be passed
-three times (``EPOCHS``).  A copy of a document finishes, in virtual time, when its source has served
-all words before it and its own at a rate of the source's weight: finish = words served / weight.
-The mix is all copies sorted by finish time, cut where the words reach the budget.  Sources whose
-three passes are over leave the queue and the others share on, so targets fill up like water: the cut
-lies at one level for all sources, found from the sums per source alone, and a source's taken words
-are the words that its queue serves up to that level (the copy that the level cuts counts in part).
+The documents of a source queue in the order of a hash of their id and text, and the queue may be
+passed three times (``EPOCHS``).  A copy of a document finishes, in virtual time, when its source has
+served all words before it and its own at a rate of the source's weight: finish = words served /
+weight.  All copies are range-sorted by finish time and cut where their words reach the budget, the
+words of all documents: copies before the cut are taken, the copy at the cut in part.  Sources whose
+three passes are over leave the queue and the others share on, so targets fill up like water, and each
+source's taken words come within a document of its target.
 
 Scale.  Words are counted in one pass; the table of (id, source, words) is checkpointed.  Running
 sums within a source are two-level (see ``running_before``), so a source may hold any share of all
-rows.  Only tables of one row per source, or per source and bucket, are joined to rows or sorted in
-one task.
+rows.  The sort is a range partitioning of narrow rows: sums per partition tell which one the cut lies
+in, only that one is summed up row by row, and every document is then held against the one row of the
+cut.  Only tables of one row per source, per source and bucket, or per partition are joined to rows or
+sorted in one task.
 
 Edge cases.  A null source is a source of its own, the last.  Null and empty texts have 0 words and
-are never taken.  Rows are queued one by one, so repeated rows each have their place; equal ids of
-one source are ordered by their words, and equal rows are interchangeable.  A source without words
-has the target 0; an empty table gives an empty result.
+are never taken.  Rows are queued one by one, so repeated rows each have their place; equal rows are
+interchangeable.  A source without words has the target 0; an empty table gives an empty result.
+Extra columns, whatever their names, are carried along by ``mixed`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import WORD, row_order, running_before
+from voxloom.llm.common import WORD, keyed, row_order, running_before
 from voxloom.session import durable
 
 #: Weights of the sources in their order, again and again.
@@ -39,7 +41,7 @@ def words(text: Column) -> Column:
 
 
 def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(source, source_size, weight, level, target) of each row (source, source_size).
+    """(source, source_size, place, weight, target) of each row (source, source_size).
 
     Sources are sorted by how soon their passes end (cap / weight).  The first for which an even
     share of what is left stays below its cap sets the level; all before it end at their caps.
@@ -55,37 +57,70 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
     out = out.withColumn("share", left / F.sum("weight").over(after))
     out = out.withColumn("level", F.min(F.when(F.col("share") * F.col("weight") < F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "place", "share"))).over(everything)["share"])
     target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
-    return out.select("source", "source_size", "weight", "level", target.alias("target"))
+    return out.select("source", "source_size", F.col("place").cast("long").alias("place"), "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, finish, lap) of each row (doc_id, text, source).
+def finish(lap: int) -> Column:
+    """The virtual time at which a document's copy of a pass ends."""
+    return (F.col("before") + F.col("size") + F.lit(lap) * F.col("source_size")) / F.col("weight")
+
 
-    finish is the virtual time at which the first copy ends, lap that of one pass over its source.
+def cut(copies: DataFrame, budget: int) -> tuple[float, int, int]:
+    """(finish, place, words taken) of the copy at which the words of the sorted ``copies`` reach the budget.
+
+    No two copies share finish and place: within a source each ends later than the one before.
+    """
+    parts = copies.repartitionByRange("finish", "place").withColumn("part", F.spark_partition_id())
+    parts = durable(parts)
+    sums = parts.groupBy("part").agg(F.sum("size").alias("words"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+    at = sums.where((F.col("ahead") < budget) & (F.col("ahead") + F.col("words") >= budget)).first()
+    within = Window.partitionBy("part").orderBy("finish", "place").rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.where(F.col("part") == at["part"]).withColumn("ahead", F.lit(at["ahead"]) + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    last = own.where((F.col("ahead") < budget) & (F.col("ahead") + F.col("size") >= budget)).first()
+    return last["finish"], last["place"], budget - last["ahead"]
+
+
+def served(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """Adds to each row (key, doc_id, source, text) its size and, by pass, an array ``copies`` of (finish, place, words taken).
+
+    text goes; source_size and target are those of the row's source.
     """
-    sized = durable(docs.select("doc_id", "source", words(F.col("text")).alias("size"), row_order(F.col("doc_id")).alias("rank")))
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sums = durable(sums)
-    rows = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    queued = running_before(sized, ["source"], "rank", ["doc_id", "size"], {"before": "size"}, rows)
+    sized = durable(rows.select("key", "doc_id", "source", words(F.col("text")).alias("size"), row_order(F.col("doc_id"), F.col("text")).alias("rank")))
+    sums = durable(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
+    n, budget = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    queued = running_before(sized, ["source"], "rank", ["doc_id", "size"], {"before": "size"}, n)
     goal = targets(sums.drop("n"), weights, epochs).withColumnRenamed("source", "__source")
-    out = queued.join(goal, F.col("source").eqNullSafe(F.col("__source")), "left")
-    quota = F.round("target").cast("long")
-    taken = sum((F.greatest(F.lit(0), F.least("size", quota - F.lit(e) * F.col("source_size") - F.col("before"))) for e in range(epochs)), F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), ((F.col("before") + F.col("size")) / F.col("weight")).alias("finish"), (F.col("source_size") / F.col("weight")).alias("lap"))
+    out = queued.join(goal, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source", "rank")
+    taken = [F.lit(0).cast("long")] * epochs
+    if budget:
+        out = durable(out)
+        every = F.explode(F.array(*map(finish, range(epochs)))).alias("finish")
+        time, place, part = cut(out.where("size > 0").select("size", "place", every), budget)
+        for lap in range(epochs):
+            first = (finish(lap) < time) | ((finish(lap) == time) & (F.col("place") < place))
+            at = (finish(lap) == time) & (F.col("place") == place)
+            taken[lap] = F.when(F.col("size") == 0, 0).when(first, F.col("size")).when(at, part).otherwise(0).cast("long")
+    copies = [F.struct(finish(lap).alias("finish"), "place", taken[lap].alias("taken")) for lap in range(epochs)]
+    return out.select("key", "doc_id", "source", "size", "source_size", "target", F.array(*copies).alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of each row (doc_id, text, source)."""
+    out = served(docs.select(F.lit(None).alias("key"), "doc_id", "source", "text"), weights, epochs)
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["taken"])
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """The rows of ``docs`` as the mix serves them: each as often as the mix takes it, sorted by virtual finish time.
 
-    Copies are whole: a row whose words are taken t times over comes round(t) times.  The columns are
-    those of ``docs``.  Rows that share an id, a source and a number of words share their decisions.
+    Copies are whole: the one at the cut is there if half its words or more are.  The columns are those
+    of ``docs``; each row is decided on its own, also where ids repeat or are null.
     """
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    plan = mix(docs, weights, epochs).where("size > 0").withColumn("copies", copies)
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies"), F.min("finish").alias("__finish"), F.max("lap").alias("__lap")).where("__copies > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), "__copies", "__finish", "__lap")
-    rows = docs.withColumn("__size", words(F.col("text")))
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words")))
-    rows = rows.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    return rows.orderBy(F.col("__finish") + F.col("__pass") * F.col("__lap"), "doc_id").select(*docs.columns)
+    rows, _ = keyed(docs)
+    plan = served(rows.select("key", *(F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text"))), weights, epochs)
+    plan = plan.where("size > 0").select(F.col("key").alias("__key"), F.explode(F.filter("copies", lambda c: 2 * c["taken"] >= F.col("size"))).alias("copy"))
+    rows = rows.join(plan, F.col("key") == F.col("__key")).orderBy("copy.finish", "copy.place")
+    return rows.select("row.*")

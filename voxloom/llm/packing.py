@@ -18,6 +18,7 @@ repeated rows and null ids are packed like any other.  An empty table gives an e
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import row_order, running_before, small_batches
-from voxloom.session import durable
+from voxloom.session import checked_broadcast, durable
 
 #: Tokens of a sequence, and the token that ends each document.
 LENGTH, END = 4096, 2
@@ -45,8 +46,9 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: Words that are cut here as the tokenizer cuts them: printable characters up to U+024F, where case folding
 #: and composition are simple.  All others, and what may be a special token, go through the tokenizer whole.
 _PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
-# The tokenizer's published split pattern, and the characters that stand for bytes.
+# The tokenizer's published split pattern and normaliser, and the characters that stand for bytes.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _HIDDEN = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _AS_CHARACTERS = {b: _HIDDEN.get(b, b) for b in range(256)}
@@ -75,7 +77,8 @@ class Encoder:
 
     White space always parts tokens and leaves none, so the ids of a text are those of its words in
     order; plain words are cut by the published pattern, and their parts are remembered too, since
-    most new words differ from known ones by case and punctuation only.
+    most new words differ from known ones by case and punctuation only.  A tokenizer of another
+    normaliser or split pattern than the published ones gets every text whole.
     """
 
     def __init__(self, path: str):
@@ -83,6 +86,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.parts = Memory(self._word), Memory(self._part)
+        with open(path, encoding="utf-8") as source:
+            made = json.load(source)
+        split = [p.get("pattern", {}).get("Regex") for p in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.published = made.get("normalizer") == _NORMALIZER and split[:1] == [_PARTS.pattern]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -97,7 +104,7 @@ class Encoder:
         return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
 
     def ids(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if not self.published or _ODD.search(text):
             return self.whole(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
@@ -134,7 +141,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None = None, length: int =
                 crcs.append([zlib.crc32(ids[i : i + wide]) for i in range(0, len(ids), wide)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "rank", "doc_tokens", "crcs"])
 
-    return docs.select("doc_id", "text", row_order(F.col("doc_id")).alias("rank")).mapInArrow(cut, f"doc_id {kind}, rank long, doc_tokens long, crcs array<long>")
+    return docs.select("doc_id", "text", row_order(F.col("doc_id"), F.col("text")).alias("rank")).mapInArrow(cut, f"doc_id {kind}, rank long, doc_tokens long, crcs array<long>")
 
 
 # --- packs -------------------------------------------------------------------------------------
@@ -195,7 +202,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
     tokens = running_before(tokens, [], "rank", ["doc_id", "doc_tokens"], {"whole_before": "whole"}, rows)
     tokens = durable(tokens.withColumn("one", F.lit(1)))
     ranked = running_before(tokens, ["rest"], "rank", ["doc_id", "doc_tokens"], {"rest_rank": "one"}, rows)
-    place = F.broadcast(spark.createDataFrame(placement, "p_rest int, p_first long, p_end long, p_sequence long, p_offset long"))
+    place = checked_broadcast(spark.createDataFrame(placement, "p_rest int, p_first long, p_end long, p_sequence long, p_offset long"))
     ranked = ranked.join(place, (F.col("rest") == F.col("p_rest")) & F.col("rest_rank").between(F.col("p_first"), F.col("p_end") - 1), "left")
     pieces = ranked.select("*", F.posexplode("crcs").alias("piece", "crc"))
     whole = F.col("piece") < F.col("whole")

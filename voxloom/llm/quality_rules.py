@@ -17,7 +17,7 @@ Scale.  Everything per document is computed within its row, in time n log n; no
 shuffled.  Labels are joined to the narrow statistics, not to texts.
 
 Edge cases.  A null text has no words: all statistics are 0, and the base conditions reject it.  Rows
-are judged one by one.  Labels that are null, contradictory (the lower counts) or belong to no document
+are judged one by one; extra columns are not read, and carried along by ``accepted``.  Labels that are null, contradictory (the lower counts) or belong to no document
 teach nothing or as stated; without labels of both kinds the list is empty.
 """
 
@@ -43,12 +43,12 @@ RULES, CONDITIONS, PRECISION, LEAST_ROWS, BINS = 8, 3, 0.95, 5, 24
 # --- statistics --------------------------------------------------------------------------------
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words) of each row (doc_id, text)."""
+def statistics(docs: DataFrame, *extra: Column) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words) of each row (doc_id, text), and ``extra``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    out = docs.select("doc_id", text.alias("text"), words.alias("w"), lines.alias("l"))
+    out = docs.select("doc_id", text.alias("text"), words.alias("w"), lines.alias("l"), F.struct(F.lit(0).alias("none"), *extra).alias("extra"))
     grams = F.when(
         F.size("w") >= WINDOW,
         F.sort_array(F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.struct(F.xxhash64(*(F.get(F.col("w"), i + k) for k in range(WINDOW))).alias("h"), i.alias("i")))),
@@ -61,6 +61,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         grams.alias("g"),
+        "extra",
     )
     # Sorted by hash, equal windows are neighbours: one fold over the sorted array keeps the places of repeated ones.
     same = F.zip_with(F.slice("g", 1, F.size("g") - 1), F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0))), lambda a, b: a["h"] == b["h"])
@@ -74,7 +75,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     gaps = F.zip_with(F.slice("places", 1, F.size("places") - 1), F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(WINDOW)))
     covered = F.aggregate(gaps, F.lit(WINDOW), lambda a, x: a + x)
     repeated = F.when(F.size("places") >= 2, covered).otherwise(F.lit(0))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", repeated.cast("long").alias("n_repeat_words"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", repeated.cast("long").alias("n_repeat_words"), "extra.*").drop("none")
 
 
 def base_failed() -> Column:
@@ -218,15 +219,22 @@ def rejection(rules: list[Rule]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
+def _judged(docs: DataFrame, labels: DataFrame, *extra: Column) -> DataFrame:
+    stats = durable(statistics(docs, *extra))
+    return stats.withColumn("base_failed", base_failed()).withColumn("rule", rejection(fit(stats, labels))).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule) of each row."""
-    stats = durable(statistics(docs))
-    rule = rejection(fit(stats, labels))
-    judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", rule)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
+    return _judged(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep; of rows that repeat an id, all stay if one is kept."""
-    gone = judge(docs, labels).groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("any")).where("not any").select("__gone")
-    return docs.join(checked_broadcast(durable(gone)), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that the rules keep.
+
+    A verdict depends on the text alone, so each row is decided by its text (two 64-bit hashes), whatever its id.
+    """
+    a, b = F.xxhash64("text"), F.xxhash64(F.lit(7), "text")
+    gone = _judged(docs, labels, a.alias("a"), b.alias("b")).where("not kept").select("a", "b").distinct()
+    rows = docs.select(F.struct("*").alias("row"), a.alias("__a"), b.alias("__b"))
+    return rows.join(checked_broadcast(durable(gone)), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti").select("row.*")

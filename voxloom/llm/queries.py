@@ -81,7 +81,7 @@ ORACLES: dict[str, str] = {
     "op3_mixing": rf"""
         WITH d AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_WORD})), 0) AS BIGINT) AS size,
-                   substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS rank
+                   substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS rank
             FROM documents
         ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         w AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM s),
@@ -92,17 +92,18 @@ ORACLES: dict[str, str] = {
                       / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
             FROM c
         ), l AS (SELECT share FROM h WHERE share * weight < cap ORDER BY cap / weight, place LIMIT 1),
-        t AS (SELECT source, source_size, least(cap, coalesce((SELECT share FROM l) * weight, cap)) AS target FROM h),
+        t AS (SELECT source, source_size, place, weight, least(cap, coalesce((SELECT share FROM l) * weight, cap)) AS target FROM h),
         q AS (
-            SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota,
+            SELECT row_number() OVER () AS r, d.doc_id, d.size, t.source_size, t.target, t.place, t.weight,
                    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, d.doc_id NULLS FIRST, d.size
                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-        )
-        SELECT doc_id, size, source_size, target,
-               CAST(greatest(0, least(size, quota - before)) + greatest(0, least(size, quota - source_size - before))
-                    + greatest(0, least(size, quota - 2 * source_size - before)) AS BIGINT) AS taken
-        FROM q""",
+        ), e AS (
+            SELECT r, place, size, CAST(before + size + lap * source_size AS DOUBLE) / weight AS finish FROM q, range(3) laps(lap) WHERE size > 0
+        ), o AS (
+            SELECT r, size, (SELECT sum(size) FROM d) - coalesce(sum(size) OVER (ORDER BY finish, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM e
+        ), k AS (SELECT r, sum(greatest(0, least(size, room))) AS taken FROM o GROUP BY r)
+        SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (r)""",
     "op6_minhash_near_dedup": rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), {_WORD}) AS w FROM documents
