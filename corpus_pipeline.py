@@ -1,4 +1,12 @@
-"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing and packing, over whole tables."""
+"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing and packing, over whole tables.
+
+Edge cases.  Every stage decides row by row, also where ids repeat or are null.  A null or empty text
+has no words, so the quality rules drop it; line dedup may leave an empty text, which later stages keep
+as a document without words until mixing, which takes none of it.  Equal rows are one document after
+near-duplicate removal, and come again only as often as the mix takes them.  All columns of documents
+are carried along, whatever further ones there are, up to packing, which returns pieces.  Empty tables
+give an empty result; without labels of both kinds only the base conditions reject.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id; five-word shingles, similarity 0.8."""
+    """One document of each group stays, that of the smallest id (null after all); five-word shingles, similarity 0.8."""
     return minhash_dedup.deduplicated(docs)
 
 
@@ -41,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("line_dedup", lines), ("minhash_near_dedup", near_duplicates), ("mixing", mix), ("packing", pack)]
 
-#: SQL cannot tokenise, nor learn rules; the tests hold the stages against brute force instead.
+#: SQL cannot tokenise, nor learn rules; tests/llm/test_pipeline.py holds each stage against brute force instead.
 ORACLE_SQL = None
 
 
