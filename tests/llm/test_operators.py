@@ -502,6 +502,41 @@ def test_urls(spark):
     assert url_filter.judge(pages.where("url = 'a.com/en/'")).first().verdict == "allow"
 
 
+def brute_rules(baskets, support, confidence):
+    """(tokens, verdict) -> confidence of the rules of baskets (tokens, verdict), without needless ones."""
+    both, alone = Counter(), Counter()
+    for own, verdict in baskets:
+        for size in range(1, url_filter.TOKENS + 1):
+            for some in itertools.combinations(sorted(own), size):
+                both[some, verdict] += 1
+                alone[some] += 1
+    rules = {k: n / alone[k[0]] for k, n in both.items() if n >= support * len(baskets) and n / alone[k[0]] >= confidence}
+    return {(t, v): c for (t, v), c in rules.items() if not any(v == w and d >= c and set(u) < set(t) for (u, w), d in rules.items())}
+
+
+def test_url_rules_by_both_miners(spark):
+    rng = np.random.Generator(np.random.PCG64(31))
+    baskets = []
+    for _ in range(400):
+        own = {f"t{i}" for i in range(6) if rng.random() < 0.5}
+        bad = {"t0", "t1"} <= own or {"t2", "t3", "t4"} <= own
+        baskets.append((sorted(own), "block" if bad and rng.random() < 0.97 else "allow"))
+    labelled = spark.createDataFrame([(t, v, 1) for t, v in baskets], "tokens array<string>, verdict string, n long")
+    expected = brute_rules(baskets, 0.02, 0.9)
+    assert any(len(t) == 3 for t, _ in expected) and any(len(t) == 2 for t, _ in expected)
+    for basket in (14, 0):
+        got = {(tuple(r.antecedent), r.verdict): r.confidence for r in url_filter.mine(labelled, 0.02, 0.9, basket).collect()}
+        assert got == pytest.approx(expected)
+
+
+def test_urls_that_share_many_parameters(spark):
+    query = "&".join(f"key{i}=1" for i in range(25))
+    urls = [f"http://h{i % 3}.net/{'fr' if i % 2 else 'es'}/{i}?{query}" for i in range(150)] + [f"http://h{i % 3}.com/en/{i}?{query}" for i in range(150)] + [f"http://h1.org/fr/1?{query}"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("tokens", F.lit(1)).withColumn("__key", F.lit(2))
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    assert len(got) == 301 and got[300] == "block"
+
+
 # --- 9 -----------------------------------------------------------------------------------------
 
 FIXED = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

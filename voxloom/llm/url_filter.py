@@ -7,6 +7,8 @@ Mined rules.  The urls that an explicit rule decides are the labelled transactio
 url (host labels and their parts, top-level name, path words, query keys; numbers as one token) plus the
 verdict as an item.  FP-growth finds frequent itemsets, and rules "tokens -> verdict" of at least
 ``CONFIDENCE`` are kept, without those that a more general rule of no less confidence makes needless.
+FP-growth has no bound on the length of itemsets, so where a basket holds more than ``BASKET`` items
+(urls that share many parameters) the same itemsets are counted level by level up to the length asked.
 A url without an explicit verdict is decided by its best fitting rule (confidence, then support, then
 fewer tokens, then block); without one it is allowed.
 
@@ -14,11 +16,15 @@ Matching is by inverted index: each rule is filed under its rarest token, urls m
 token, and the other tokens are then compared.
 
 Scale.  Transactions never leave the executors.  The mined rules are bounded by support: a token set
-is frequent in at least ``SUPPORT`` of the labelled urls, and rules hold at most ``TOKENS`` tokens of
-the ``ITEMS`` most frequent ones.  Equal token sets are folded with a count before urls meet rules.
+is frequent in at least ``SUPPORT`` of the labelled urls, and rules hold at most ``TOKENS`` tokens.
+The frequent tokens themselves are at most the mean number of tokens of a url over ``SUPPORT``.  Equal
+token sets are folded with a count before urls meet rules.  Token sets that hold more than one url in
+``SETS`` are fewer than ``SETS``, so verdicts of these are broadcast, and no hot set lands in one task;
+those of the others are joined.
 
 Edge cases.  A null url, or one without ``://``, has an empty host and path, no tokens and no rule; it
-is allowed.  Without labelled urls nothing is mined.  Rows are judged one by one.
+is allowed.  Without labelled urls nothing is mined.  Rows are judged one by one, also where ids repeat
+or are null.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import LOWER, UPPER
-from voxloom.session import durable
+from voxloom.session import checked_broadcast, durable
 
 
 @dataclass(frozen=True)
@@ -53,8 +59,8 @@ RULES = (
     Rule("block", "net", "/fr/"),
 )
 SUPPORT, CONFIDENCE = 0.01, 0.9
-#: Most frequent tokens that rules are made of; tokens of a rule at most.
-ITEMS, TOKENS = 200, 3
+#: Tokens of a rule at most; items of a basket up to which FP-growth mines; see Scale.
+TOKENS, BASKET, SETS = 3, 14, 100_000
 _LABEL = "verdict="
 
 
@@ -92,10 +98,33 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.filter(everything, lambda x: ~x.isin("host:", "part:", "path:", "top:")))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def grown(baskets: DataFrame, support: float) -> DataFrame:
+    """(items, freq) of the frequent itemsets of baskets (items, n), by FP-growth."""
+    step = F.lit(1000).cast("long")  # rows again, without one long array for a frequent basket
+    rows = baskets.select("items", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)).alias("start"))
+    rows = rows.select("items", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + step, "n") - 1)).alias("_")).select("items")
+    return FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(rows).freqItemsets
+
+
+def levelled(baskets: DataFrame, support: float, total: int, longest: int) -> DataFrame:
+    """As ``grown``, but of up to ``longest`` items only, counted level by level: each set grows by later items of its basket."""
+    rows = baskets.select(F.array_sort("items").alias("basket"), "n", F.array().cast("array<string>").alias("items"))
+    out = None
+    for _ in range(longest):
+        last = F.element_at("items", -1)
+        further = F.filter("basket", lambda x: (F.size("items") == 0) | (x > F.when(F.size("items") > 0, last)))
+        rows = rows.select("basket", "n", F.col("items").alias("shorter"), F.explode(further).alias("item"))
+        rows = rows.select("basket", "n", F.concat("shorter", F.array("item")).alias("items"))
+        level = durable(rows.groupBy("items").agg(F.sum("n").alias("freq")).where(F.col("freq") >= support * total))
+        out = level if out is None else out.union(level)
+        rows = rows.join(checked_broadcast(level.select("items")), "items", "left_semi").select("basket", "n", "items")
+    return out
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, basket: int = BASKET) -> DataFrame:
     """(antecedent, verdict, confidence, support) rules of labelled rows (tokens, verdict, n).
 
-    FP-growth gets each row with tokens of the ``ITEMS`` most frequent only, and the verdict as an item.
+    The miners get each row with its frequent tokens only, and the verdict as an item.
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double")
@@ -103,15 +132,14 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if not total:
         return empty
     counts = labelled.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
-    frequent = counts.where(F.col("n") >= support * total).orderBy(F.desc("n"), "token").limit(ITEMS)
-    known = F.array(*(F.lit(r[0]) for r in frequent.select("token").collect())).cast("array<string>")
+    frequent = counts.where(F.col("n") >= support * total).select("token")
+    known = F.array(*(F.lit(r[0]) for r in frequent.collect())).cast("array<string>")
     items = F.concat(F.array_intersect("tokens", known), F.array(F.concat(F.lit(_LABEL), F.col("verdict"))))
-    baskets = labelled.select(items.alias("items"), "n").groupBy("items").agg(F.sum("n").alias("n"))
-    step = F.lit(1000).cast("long")  # rows again, without one long array for a frequent basket
-    baskets = baskets.select("items", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)).alias("start"))
-    baskets = baskets.select("items", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + step, "n") - 1)).alias("_")).select("items")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    sets = model.freqItemsets.where(F.size("items") <= TOKENS + 1)
+    baskets = durable(labelled.select(items.alias("items"), "n").groupBy("items").agg(F.sum("n").alias("n")))
+    if baskets.agg(F.max(F.size("items"))).first()[0] <= basket:
+        sets = grown(baskets, support).where(F.size("items") <= TOKENS + 1)
+    else:
+        sets = levelled(baskets, support, total, TOKENS + 1)
     label = F.filter("items", lambda x: F.startswith(x, F.lit(_LABEL)))
     with_label = sets.where(F.size(label) == 1).select(F.array_sort(F.array_except("items", label)).alias("antecedent"), F.substring(label[0], len(_LABEL) + 1, 100).alias("verdict"), F.col("freq").alias("both"))
     alone = sets.where(F.size(label) == 0).select(F.array_sort("items").alias("__antecedent"), "freq")
@@ -129,7 +157,7 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(tokens, verdict): for rows of distinct ``tokens``, the verdict of the best rule that fits, by inverted index."""
     frequency = rules.select(F.explode("antecedent").alias("token"), "support").groupBy("token").agg(F.sum("support").alias("w"))
     filed = rules.withColumn("token", F.explode("antecedent")).join(frequency, "token").groupBy("antecedent", "verdict", "confidence", "support").agg(F.min(F.struct("w", "token"))["token"].alias("token"))
-    hits = urls.select("tokens", F.explode("tokens").alias("token")).join(filed, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    hits = urls.select("tokens", F.explode("tokens").alias("token")).join(checked_broadcast(durable(filed)), "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = F.max(F.struct("confidence", "support", -F.size("antecedent"), F.col("verdict").alias("verdict")))
     return hits.groupBy("tokens").agg(best["verdict"].alias("__verdict")).withColumnRenamed("tokens", "__tokens")
 
@@ -141,6 +169,14 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, support: float = SU
     rows = rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"), tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
     folded = durable(rows.groupBy("tokens", "ruled").agg(F.count("*").alias("n")))
     mined = mine(folded.where("ruled is not null").select("tokens", F.col("ruled").alias("verdict"), "n"), support, confidence)
-    found = matched(folded.where("ruled is null").select("tokens").distinct(), mined)
-    out = rows.join(found, F.col("tokens") == F.col("__tokens"), "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "__verdict", F.lit("allow")).alias("verdict"))
+    sets = folded.where("ruled is null").groupBy("tokens").agg(F.sum("n").alias("n"))
+    found = matched(sets.select("tokens"), mined)
+    total = folded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = sets.where(F.col("n") * SETS > total).select(F.col("tokens").alias("__hot"))
+    hot = F.broadcast(durable(hot.join(found, F.col("__hot") == F.col("__tokens"), "left").select("__hot", F.coalesce("__verdict", F.lit("allow")).alias("__known"))))
+    rows = rows.join(hot, F.col("tokens") == F.col("__hot"), "left")
+    # What is decided so, or by a rule, needs no partner: it is spread over as many keys that no url has.
+    decided = F.col("ruled").isNotNull() | F.col("__known").isNotNull()
+    rows = rows.withColumn("__key", F.when(decided, F.array(F.concat(F.lit("decided"), (F.monotonically_increasing_id() % 10_007).cast("string")))).otherwise(F.col("tokens")))
+    out = rows.join(found, F.col("__key") == F.col("__tokens"), "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "__known", "__verdict", F.lit("allow")).alias("verdict"))
