@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import small_batches
@@ -250,42 +250,48 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap(scanned: DataFrame, confidence: float = CONFIDENCE, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS) -> DataFrame:
-    """(side, word, shape, k) of the unknown mentions that are accepted; a pattern is a side (its place in ``words``) and a hash."""
+    """(side, word, shape, k) of the unknown mentions that are accepted; a pattern is a side (its place in ``words``) and a hash.
+
+    Tables hold a column for each kind, so that a pattern, a shape or a group of like mentions is one row.
+    """
+    kinds = range(len(KINDS))
     m = scanned.select(F.explode("mentions").alias("m")).select("m.*")
     sides = m.select("kind", "shape", "coarse", F.posexplode("words").alias("side", "word"))
     graph = durable(sides.groupBy("side", "word", "shape", "coarse", "kind").agg(F.count("*").alias("n")))
-    each_form = F.explode(F.array_distinct(F.array("shape", "coarse"))).alias("form")
-    seeds = graph.where("kind >= 0").groupBy("side", "word", F.col("kind").alias("k")).agg(F.sum("n").alias("support"), F.lit(0.0).alias("believed"))
-    totals = graph.groupBy("side", "word").agg(F.sum("n").alias("total"))
     unknown = graph.where("kind < 0").select("side", "word", "shape", "coarse", F.col("n").alias("unknown"))
-    pairs = unknown.select("shape", "coarse").distinct().select("shape", "coarse", each_form)
-    asked = pairs.select("form").distinct()
-    formed = graph.select("side", "kind", "n", each_form).join(asked, "form", "left_semi")
-    seeded = formed.where("kind >= 0").groupBy("side", "form", F.col("kind").alias("k")).agg(F.sum("n").alias("part"))
-    of_form = formed.where("side = 0").groupBy("form").agg(F.sum("n").alias("of_form"))
-    shares = graph.where("side = 0").groupBy("kind").agg(F.sum("n").alias("n")).join(graph.where("side = 0").agg(F.sum("n").alias("all")))
-    shares = F.broadcast(shares.where("kind >= 0").select(F.col("kind").alias("k"), (F.col("n") / F.col("all")).alias("share")))
-    accepted = weights = None
+    counts = {r["kind"]: r["n"] for r in graph.where("side = 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # a row for each kind
+    share = [counts.get(k, 0) / max(1, sum(counts.values())) for k in kinds]
+
+    def seeds(name: str) -> list[Column]:
+        return [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{name}{k}") for k in kinds]
+
+    each_form = F.explode(F.array_distinct(F.array("shape", "coarse"))).alias("form")
+    places = durable(graph.groupBy("side", "word").agg(F.sum("n").alias("total"), *seeds("s"), F.count_if(F.col("kind") < 0).alias("u")).where("u > 0").drop("u"))
+    formed = durable(graph.where("side = 0").select("kind", "n", each_form).groupBy("form").agg(F.sum("n").alias("of_form"), *seeds("c"), F.count_if(F.col("kind") < 0).alias("u")).where("u > 0").drop("u"))
+    weighed = unknown.select("*", *(F.lit(0.0).alias(f"w{k}") for k in kinds))
     for _ in range(rounds):
-        support = seeds
-        if weights is not None:  # unknown mentions count for their patterns as far as they are believed
-            believed = unknown.join(weights, ["side", "word", "shape"]).select("side", "word", "k", (F.col("unknown") * F.col("weight")).alias("support")).withColumn("believed", F.col("support"))
-            support = seeds.union(believed).groupBy("side", "word", "k").agg(F.sum("support").alias("support"), F.sum("believed").alias("believed"))
-        patterns = support.join(totals, ["side", "word"]).withColumn("score", F.col("support") / F.col("total")).join(shares, "k")
-        others = F.col("total") * (1 - F.col("share"))  # mentions that are not of the kind, were the pattern like the corpus
-        telling = F.col("total") - F.col("support") <= others - DEVIATIONS * F.sqrt(others)
-        met = durable(unknown.join(patterns.select("side", "word", "k", "score", "support", (F.col("believed") / F.col("total")).alias("relayed"), telling.alias("telling")), ["side", "word"]))
-        parts = met.select("side", each_form, "k", (F.col("unknown") * F.when(F.col("telling"), F.col("score")).otherwise(F.col("relayed"))).alias("part")).union(seeded.select("side", "form", "k", "part"))
-        believed_forms = parts.groupBy("side", "form", "k").agg(F.sum("part").alias("part")).join(of_form, "form")
-        believed_forms = believed_forms.groupBy("form", "k").agg(F.max(F.col("part") / F.col("of_form")).alias("belief"))
-        shapes = durable(pairs.join(believed_forms, "form").groupBy("shape", "k").agg(F.max("belief").alias("belief")))
-        good = met.where((F.col("support") >= least_seeds) & (F.col("score") >= confidence)).join(shapes, ["shape", "k"])
-        good = good.where(F.col("telling") | (F.col("belief") >= confidence))
-        accepted = durable(good.groupBy("side", "word", "shape").agg(F.max(F.struct("score", "k"))["k"].alias("k")))
-        weight = F.when(F.col("taken").isNull(), F.col("belief")).when(F.col("taken") == F.col("k"), 1.0).otherwise(0.0)
-        weights = unknown.select("side", "word", "shape").join(shapes, "shape").join(accepted.withColumnRenamed("k", "taken"), ["side", "word", "shape"], "left")
-        weights = weights.select("side", "word", "shape", "k", weight.alias("weight"))
-    return accepted
+        # A pattern's support in a kind is its seeds, and its unknown mentions as far as they are believed.
+        believed = weighed.groupBy("side", "word").agg(*(F.sum(F.col("unknown") * F.col(f"w{k}")).alias(f"b{k}") for k in kinds))
+        patterns = places.join(believed, ["side", "word"])
+        columns = []
+        for k in kinds:
+            others = F.col("total") * (1 - share[k])  # mentions that are not of the kind, were the pattern like the corpus
+            support = F.col(f"s{k}") + F.col(f"b{k}")
+            telling = F.col("total") - support <= others - DEVIATIONS * F.sqrt(others)
+            columns += [support.alias(f"support{k}"), (support / F.col("total")).alias(f"score{k}"), (telling & (support > 0)).alias(f"telling{k}"), (F.col(f"b{k}") / F.col("total")).alias(f"relayed{k}")]
+        met = durable(unknown.join(patterns.select("side", "word", *columns), ["side", "word"]))
+        passed = [F.sum(F.col("unknown") * F.when(F.col(f"telling{k}"), F.col(f"score{k}")).otherwise(F.col(f"relayed{k}"))).alias(f"p{k}") for k in kinds]
+        parts = met.select("*", each_form).groupBy("side", "form").agg(*passed).join(formed, "form")
+        beliefs = durable(parts.groupBy("form").agg(*(F.max((F.col(f"c{k}") + F.col(f"p{k}")) / F.col("of_form")).alias(f"belief{k}") for k in kinds)))
+        fine, coarse = (beliefs.select(F.col("form").alias(form), *(F.col(f"belief{k}").alias(f"{form}{k}") for k in kinds)) for form in ("shape", "coarse"))
+        held = met.join(fine, "shape").join(coarse, "coarse")
+        own = [F.greatest(f"shape{k}", f"coarse{k}") for k in kinds]
+        good = [(F.col(f"support{k}") >= least_seeds) & (F.col(f"score{k}") >= confidence) & (F.col(f"telling{k}") | (own[k] >= confidence)) for k in kinds]
+        best = F.array_max(F.array(*(F.when(good[k], F.struct(F.col(f"score{k}").alias("score"), F.lit(k).alias("k"))) for k in kinds)))["k"]
+        held = held.select("side", "word", "shape", "coarse", "unknown", best.alias("k"), *(own[k].alias(f"own{k}") for k in kinds))
+        weights = [F.when(F.col("k").isNull(), F.col(f"own{k}")).when(F.col("k") == k, 1.0).otherwise(0.0).alias(f"w{k}") for k in kinds]
+        weighed = durable(held.select("side", "word", "shape", "coarse", "unknown", "k", *weights))
+    return weighed.where("k is not null").select("side", "word", "shape", "k")
 
 
 def detect(docs: DataFrame, confidence: float = CONFIDENCE, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS) -> DataFrame:
