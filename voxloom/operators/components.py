@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 
 from voxloom.arrow import merged, runs
 from voxloom.frame import Frame
+from voxloom.operators.blocks import BLOCK
 from voxloom.operators.graph import components
 from voxloom.operators.voxels import ZYX, numbered, offsets, raster, shifted
 from voxloom.session import durable
 
-BLOCK = (64, 64, 64)
-
-
 def _block(frame: Frame, block: tuple[int, int, int], suffix: str = "") -> Column:
     _, ny, nx = frame.blocks(block)
     z, y, x = (F.floor(F.col(c + suffix) / b) for c, b in zip(ZYX, block, strict=True))
@@ -97,8 +95,8 @@ def components_within(voxels: DataFrame, objects: DataFrame, frame: Frame, conne
 def deduplicate_ids(voxels: DataFrame, frame: Frame, connectivity: int = 2, block: tuple[int, int, int] = BLOCK) -> DataFrame:
     """If some id has several components, one id per component; else the input as it is."""
     rooted = durable(roots(voxels, frame, connectivity, True, block))
-    parts, ids = rooted.agg(F.countDistinct("root"), F.countDistinct("label")).first()
-    if parts == ids:
+    several = rooted.groupBy("label").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
+    if several.limit(1).count() == 0:
         return voxels.select(*ZYX, "label")
     return rooted.join(numbered(rooted.select("root").distinct(), "root", "id"), "root").select(*ZYX, F.col("id").alias("label"))
 

@@ -1,12 +1,13 @@
-"""Measures of labelled objects: one aggregation over voxels and one over equal-label faces."""
+"""Measures of labelled objects: one aggregation over voxels and one over faces, counted block by block."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.frame import Frame
-from voxloom.operators.voxels import ZYX, shifted
+from voxloom.operators.blocks import BLOCK, ZYX, blockwise, inside, neighbour
 
 #: Columns of the merged sums that a measure is made of; partial results add up by them.
 SUMS = ["n", "sum_z", "sum_y", "sum_x", "sum_r2"]
@@ -17,19 +18,28 @@ def physical(frame: Frame) -> list[Column]:
     return [(F.col(c) + 0.5) * v + o for c, v, o in zip(ZYX, frame.voxel, frame.corner, strict=True)]
 
 
-def surface_areas(voxels: DataFrame, frame: Frame) -> DataFrame:
+AXES = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+
+
+def surface_areas(voxels: DataFrame, frame: Frame, block: tuple[int, int, int] = BLOCK) -> DataFrame:
     """(label, area): faces towards another label, background or the outside; a face between two labels counts for both.
 
-    Of the 2n faces across an axis each pair of equal neighbours hides two, so only the pairs are joined.
+    Of the 2n faces across an axis each pair of equal neighbours hides two; pairs are counted block by block.
     """
-    axes = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
-    hidden = None
-    for axis, area in zip(axes, frame.faces, strict=True):
-        part = shifted(voxels, [axis], "label").withColumn("area", F.lit(2.0 * area))
-        hidden = part if hidden is None else hidden.union(part)
-    hidden = hidden.join(voxels.select(*ZYX, "label"), [*ZYX, "label"]).groupBy("label").agg(F.sum("area").alias("hidden"))
-    own = voxels.groupBy("label").agg((F.count("*") * (2.0 * sum(frame.faces))).alias("all"))
-    return own.join(hidden, "label", "left").select("label", (F.col("all") - F.coalesce("hidden", F.lit(0.0))).alias("area"))
+
+    def counted(arrays: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
+        own = inside(arrays[0], 1)
+        labels, at = np.unique(own, return_inverse=True)
+        columns = [labels, np.bincount(at.ravel(), minlength=len(labels))]
+        for o in AXES:
+            same = own == inside(neighbour(arrays[0], o), 1)
+            columns.append(np.bincount(at.reshape(own.shape)[same], minlength=len(labels)))
+        return [c[labels != 0].astype(np.int64) for c in columns]
+
+    parts = blockwise([voxels], 1, counted, "label long, n long, hz long, hy long, hx long", block)
+    sums = parts.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("n", "hz", "hy", "hx")))
+    hidden = sum((F.col(h) * F.lit(2.0 * area) for h, area in zip(("hz", "hy", "hx"), frame.faces, strict=True)), F.lit(0.0))
+    return sums.select("label", (F.col("n") * (2.0 * sum(frame.faces)) - hidden).alias("area"))
 
 
 def partial_sums(voxels: DataFrame, frame: Frame, raw: str | None = None) -> DataFrame:
@@ -63,21 +73,26 @@ def finished(sums: DataFrame, frame: Frame) -> DataFrame:
     return sums.select(*out)
 
 
-def contact_areas(contacts: DataFrame, organelle: DataFrame, frame: Frame) -> DataFrame:
+def contact_areas(contacts: DataFrame, organelle: DataFrame, frame: Frame, block: tuple[int, int, int] = BLOCK) -> DataFrame:
     """(contact, organelle, area): the organelle's surface inside each contact site; ids with no surface there stay, with 0."""
-    axes = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-    inside = contacts.select(*ZYX, F.col("label").alias("contact")).join(organelle.select(*ZYX, F.col("label").alias("organelle")), ZYX)
-    hidden = None
-    for axis, area in zip(axes, [a for a in frame.faces for _ in (0, 1)], strict=True):
-        part = shifted(organelle, [axis], "label").withColumn("area", F.lit(area))
-        hidden = part if hidden is None else hidden.union(part)
-    hidden = hidden.groupBy(*ZYX, F.col("label").alias("organelle")).agg(F.sum("area").alias("hidden"))
-    area = F.sum(F.lit(2.0 * sum(frame.faces)) - F.coalesce("hidden", F.lit(0.0)))
-    return inside.join(hidden, [*ZYX, "organelle"], "left").groupBy("contact", "organelle").agg(area.alias("area"))
+
+    def counted(arrays: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
+        site, own = inside(arrays[0], 1), inside(arrays[1], 1)
+        both = (site != 0) & (own != 0)
+        pairs, at = np.unique(np.stack([site[both], own[both]], 1), axis=0, return_inverse=True)
+        columns = [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])]
+        for o in AXES:
+            free = sum((own != inside(neighbour(arrays[1], tuple(s * v for v in o)), 1)).astype(np.int64) for s in (1, -1))
+            columns.append(np.bincount(at.ravel(), free[both], len(pairs)).astype(np.int64))
+        return columns
+
+    parts = blockwise([contacts, organelle], 1, counted, "contact long, organelle long, fz long, fy long, fx long", block)
+    area = sum((F.sum(f) * F.lit(float(a)) for f, a in zip(("fz", "fy", "fx"), frame.faces, strict=True)), F.lit(0.0))
+    return parts.groupBy("contact", "organelle").agg(area.alias("area"))
 
 
 def measure(voxels: DataFrame, frame: Frame, raw: DataFrame | None = None, organelles: dict[str, DataFrame] | None = None) -> DataFrame:
-    """One row per label with all measures, ordered by label.
+    """One row per label with all measures; whoever writes them sorts them.
 
     raw: (z, y, x, value) intensities.  organelles: two named label volumes of which ``voxels`` are the
     contact sites; their ids and areas become arrays.
@@ -89,7 +104,7 @@ def measure(voxels: DataFrame, frame: Frame, raw: DataFrame | None = None, organ
     for name, organelle in (organelles or {}).items():
         pairs = contact_areas(voxels, organelle, frame).groupBy(F.col("contact").alias("label")).agg(F.sort_array(F.collect_list(F.struct("organelle", "area"))).alias("p"))
         out = out.join(pairs, "label", "left").withColumn(f"{name}_ids", F.col("p.organelle")).withColumn(f"{name}_areas", F.col("p.area")).drop("p")
-    return out.orderBy("label")
+    return out
 
 
 def object_table(measured: DataFrame) -> DataFrame:

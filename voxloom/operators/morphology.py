@@ -4,55 +4,76 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.frame import Frame
-from voxloom.operators.voxels import ZYX, densified, offsets, shifted
+from voxloom.operators.blocks import BLOCK, ROUNDS, ZYX, blockwise, cells, neighbour, within
+from voxloom.operators.voxels import lattice, offsets
+from voxloom.session import durable
 
 
-def _inside(frame: Frame):
-    out = F.lit(True)
-    for c, n in zip(ZYX, frame.shape, strict=True):
-        out = out & F.col(c).between(0, n - 1)
-    return out
+def _rounds(voxels: DataFrame, iterations: int, one_pass) -> DataFrame:
+    """one_pass(voxels, rounds) as often as it takes, checkpointed in between."""
+    if iterations < 1:
+        raise ValueError("at least one iteration")
+    while iterations > ROUNDS:
+        voxels, iterations = durable(one_pass(voxels, ROUNDS)), iterations - ROUNDS
+    return one_pass(voxels, iterations)
 
 
-def erode(voxels: DataFrame, frame: Frame, iterations: int = 1, connectivity: int = 1, edge: bool = False) -> DataFrame:
+def erode(voxels: DataFrame, frame: Frame, iterations: int = 1, connectivity: int = 1, edge: bool = False, block: tuple[int, int, int] = BLOCK) -> DataFrame:
     """Voxels all of whose neighbours have their label; ids that touch erode each other.
 
     Beyond the volume is background, or with ``edge`` whatever the border voxel is.
     """
-    if iterations < 1:
-        raise ValueError("at least one iteration")
-    near = offsets(connectivity)
-    for _ in range(iterations):
-        votes = shifted(voxels, near, "label").join(voxels.select(*ZYX, "label"), [*ZYX, "label"])
-        full = F.lit(len(near))
-        if edge:  # neighbours beyond the volume do not vote
-            present = sum((F.when(F.lit(True) if not any(o) else _all_inside(o, frame), 1).otherwise(0) for o in near), F.lit(0))
-            full = present
-        voxels = votes.groupBy(*ZYX, "label").agg(F.count("*").alias("k")).where(F.col("k") == full).select(*ZYX, "label")
-    return voxels
-
-
-def _all_inside(offset: tuple[int, int, int], frame: Frame):
-    out = F.lit(True)
-    for c, d, n in zip(ZYX, offset, frame.shape, strict=True):
-        if d:
-            out = out & (F.col(c) + d).between(0, n - 1)
-    return out
+    near, shape = offsets(connectivity), frame.shape
+
+    def one_pass(voxels: DataFrame, rounds: int) -> DataFrame:
+        def eroded(arrays: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
+            own = arrays[0]
+            volume = within(shape, own, begin) if edge else None
+            for _ in range(rounds):
+                keep = own != 0
+                for o in near:
+                    same = neighbour(own, o) == own
+                    keep &= same if volume is None else same | ~neighbour(volume, o)
+                own = np.where(keep, own, 0)
+            return cells(own != 0, begin, rounds, own)
 
+        return blockwise([voxels], rounds, eroded, "z int, y int, x int, label long", block)
 
-def dilate(voxels: DataFrame, frame: Frame, iterations: int = 1, connectivity: int = 1) -> DataFrame:
+    return _rounds(voxels, iterations, one_pass)
+
+
+def dilate(voxels: DataFrame, frame: Frame, iterations: int = 1, connectivity: int = 1, block: tuple[int, int, int] = BLOCK) -> DataFrame:
     """Background takes the label of most of its neighbours, of equals the smaller; labelled voxels stay."""
-    if iterations < 1:
-        raise ValueError("at least one iteration")
-    for _ in range(iterations):
-        grown = shifted(voxels, offsets(connectivity), "label").where(_inside(frame)).join(voxels.select(*ZYX), ZYX, "left_anti")
-        grown = grown.groupBy(*ZYX, "label").agg(F.count("*").alias("k")).groupBy(*ZYX).agg(F.max(F.struct("k", (-F.col("label")).alias("m"))).alias("best"))
-        voxels = voxels.select(*ZYX, "label").union(grown.select(*ZYX, (-F.col("best.m")).alias("label")))
-    return voxels
+    near, shape = offsets(connectivity), frame.shape
+
+    def one_pass(voxels: DataFrame, rounds: int) -> DataFrame:
+        def dilated(arrays: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
+            own = arrays[0]
+            volume = within(shape, own, begin)
+            for _ in range(rounds):
+                around = [neighbour(own, o) for o in near]
+                reached = np.zeros(own.shape, bool)
+                for n in around:
+                    reached |= n != 0
+                free = reached & (own == 0) & volume
+                votes = np.stack([n[free] for n in around])
+                best, most = np.zeros(votes.shape[1], np.int64), np.zeros(votes.shape[1], np.int64)
+                for label in votes:
+                    count = np.where(label != 0, (votes == label).sum(0), 0)
+                    better = (count > most) | (count == most) & (count > 0) & (label < best)
+                    best, most = np.where(better, label, best), np.where(better, count, most)
+                own = own.copy()
+                own[free] = best
+            return cells(own != 0, begin, rounds, own)
+
+        return blockwise([voxels], rounds, dilated, "z int, y int, x int, label long", block)
+
+    return _rounds(voxels, iterations, one_pass)
 
 
 def mask_operations(mask: DataFrame, frame: Frame, operations: list[tuple[str, int]], value: int | None = None, connectivity: int = 1) -> DataFrame:
@@ -70,19 +91,23 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def gaussian(values: DataFrame, frame: Frame, sigma: float, column: str = "value") -> DataFrame:
-    """Separable smoothing with sigma in physical units; outside the volume is 0.
+def gaussian(values: DataFrame, frame: Frame, sigma: float, column: str = "value", block: tuple[int, int, int] = BLOCK) -> DataFrame:
+    """Separable smoothing with sigma in physical units, of every voxel of the volume; outside it is 0."""
+    weights = [gaussian_weights(sigma / size) for size in frame.voxel]
+    halo, shape = max(len(w) // 2 for w in weights), frame.shape
 
-    Along each axis a voxel is the sum of lagged values of its line; lines are many, so windows are spread.
-    """
-    out = densified(values, frame, column, 0.0)
-    for axis, size in zip(ZYX, frame.voxel, strict=True):
-        weights = gaussian_weights(sigma / size)
-        r = len(weights) // 2
-        line = Window.partitionBy(*(c for c in ZYX if c != axis)).orderBy(axis)
-        terms = [w * F.coalesce(F.lag(column, k - r).over(line) if k > r else F.lead(column, r - k).over(line) if k < r else F.col(column), F.lit(0.0)) for k, w in enumerate(weights)]
-        out = out.select(*ZYX, sum(terms[1:], terms[0]).alias(column))
-    return out
+    def smoothed(arrays: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
+        out = arrays[0]
+        for axis, own in enumerate(weights):
+            source, out = out, np.zeros_like(out)
+            for k, w in enumerate(own):
+                out += w * neighbour(source, tuple(k - len(own) // 2 if a == axis else 0 for a in range(3)))
+        return cells(within(shape, out, begin), begin, halo, out)
+
+    # Blocks without a value are smoothed too: each has a voxel of 0 in a channel of its own.
+    corners = lattice(values.sparkSession, Frame(frame.voxel, frame.blocks(block)))
+    corners = corners.select(*((F.col(c) * b).alias(c) for c, b in zip(ZYX, block, strict=True)), F.lit(0.0).alias(column))
+    return blockwise([values.select(*ZYX, F.col(column).cast("double").alias(column)), corners], halo, smoothed, f"z int, y int, x int, {column} double", block, column)
 
 
 def resampled(voxels: DataFrame, frame: Frame, voxel: tuple[float, float, float], tolerance: float = 0.01) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from voxloom.arrow import runs
 from voxloom.frame import Frame
 from voxloom.operators import components, morphology
+from voxloom.operators.blocks import blockwise, cells, neighbour
 from voxloom.operators.components import local_roots
 from voxloom.operators.graph import components as joined
 from voxloom.operators.voxels import ZYX, numbered, offsets, raster, shifted
@@ -78,19 +79,20 @@ def unbridged(voxels: DataFrame, connectivity: int = 6) -> DataFrame:
     if connectivity not in (6, 18):
         raise ValueError("connectivity must be 6 or 18")
     wanted = [o for o in offsets(3, half=True) if sum(map(abs, o)) >= (2 if connectivity == 6 else 3)]
-    solid = voxels.select(*ZYX)
-    gone = None
-    for o in wanted:
-        axes = [i for i in range(3) if o[i]]
-        between = []
-        for keep in range(1, 2 ** len(axes) - 1):
-            between.append(tuple(o[i] if i in axes and keep >> axes.index(i) & 1 else 0 for i in range(3)))
-        pairs = solid.join(shifted(solid, [o]), ZYX)  # the later member stands at p, the earlier at p - o
-        for step in between:  # p - o + step would bridge
-            back = tuple(a - b for a, b in zip(o, step, strict=True))
-            pairs = pairs.join(shifted(solid, [back]), ZYX, "left_anti")
-        gone = pairs if gone is None else gone.union(pairs)
-    return voxels.join(gone.distinct(), ZYX, "left_anti")
+
+    def kept(arrays: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
+        solid = arrays[0] != 0
+        gone = np.zeros(solid.shape, bool)
+        for o in wanted:  # the later member stands at p, the earlier at p - o
+            axes = [i for i in range(3) if o[i]]
+            pair = solid & neighbour(solid, tuple(-v for v in o))
+            for keep in range(1, 2 ** len(axes) - 1):  # p - o + step would bridge
+                step = [o[i] if i in axes and keep >> axes.index(i) & 1 else 0 for i in range(3)]
+                pair &= ~neighbour(solid, tuple(s - v for s, v in zip(step, o, strict=True)))
+            gone |= pair
+        return cells(solid & ~gone, begin, 1, arrays[0])
+
+    return blockwise([voxels], 1, kept, "z int, y int, x int, label long")
 
 
 # --- distance transform and thinning -----------------------------------------------------------

@@ -1,7 +1,7 @@
 """Voxel tables (z, y, x, label or value) and what selects, masks and relabels them.
 
-Background is not stored.  Neighbour relations are equi-joins on shifted coordinates, so they are hash
-or merge joins at any size; small dimension tables (ids, maps) are left to Spark's own size checks.
+Background is not stored.  Neighbour relations are worked out on dense blocks with a halo; small
+dimension tables (ids, maps) are left to Spark's own size checks.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.frame import Frame, Roi
+from voxloom.operators.blocks import BLOCK, ZYX, blockwise, cells, inside, neighbour
 from voxloom.session import durable
 
-ZYX = ["z", "y", "x"]
-
 
 def offsets(connectivity: int, half: bool = False) -> list[tuple[int, int, int]]:
     """The 6, 18 or 26 neighbours for connectivity 1, 2 or 3; ``half``: one of each opposite pair, the later in raster order."""
@@ -92,8 +91,7 @@ def masked(voxels: DataFrame, *masks: tuple[DataFrame, bool]) -> DataFrame:
 def parsed_ids(spark: SparkSession, ids: str | list[int] | DataFrame) -> DataFrame:
     """(id, position) of "1,2,3", a list, or a table with a column ``Object ID``; positions count from 1, later duplicates win."""
     if isinstance(ids, DataFrame):
-        rows = ids.select(F.col("Object ID").cast("long").alias("id"), F.monotonically_increasing_id().alias("position"))
-        rows = rows.select("id", F.row_number().over(Window.orderBy("position")).cast("long").alias("position"))
+        rows = numbered(ids.select(F.col("Object ID").cast("long").alias("id"), F.monotonically_increasing_id().alias("row")), "row", "position").select("id", "position")
     else:
         own = [int(v) for v in ids.split(",")] if isinstance(ids, str) else list(ids)
         rows = spark.createDataFrame([(v, k) for k, v in enumerate(own, 1)], "id long, position long")
@@ -124,21 +122,36 @@ def shifted(voxels: DataFrame, by: list[tuple[int, int, int]], *extra: str) -> D
     return out.select(*((F.col(c) + F.col(f"d.d{c}")).alias(c) for c in ZYX), *extra)
 
 
-def touching_ids(voxels: DataFrame, connectivity: int, objects: DataFrame | None = None) -> DataFrame:
+def touching_ids(voxels: DataFrame, connectivity: int, objects: DataFrame | None = None, block: tuple[int, int, int] = BLOCK) -> DataFrame:
     """(src, dst), src < dst: labels with neighbouring voxels; with ``objects`` only where both lie in the same object."""
-    extra: tuple[str, ...] = ()
-    if objects is not None:
-        voxels = voxels.join(objects.select(*ZYX, F.col("label").alias("object")), ZYX)
-        extra = ("object",)
-    a = shifted(voxels.withColumnRenamed("label", "a"), offsets(connectivity, half=True), "a", *extra)
-    pairs = a.join(voxels, [*ZYX, *extra]).where("a != label")
-    return pairs.select(F.least("a", "label").alias("src"), F.greatest("a", "label").alias("dst")).distinct()
+    same_object = objects is not None
+
+    def pairs(arrays: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
+        own, found = inside(arrays[0], 1), []
+        for o in offsets(connectivity, half=True):
+            other = inside(neighbour(arrays[0], o), 1)
+            meet = (own != 0) & (other != 0) & (own != other)
+            if same_object:
+                owner = inside(arrays[1], 1)
+                meet &= (owner != 0) & (owner == inside(neighbour(arrays[1], o), 1))
+            found.append(np.unique(np.sort(np.stack([own[meet], other[meet]], 1), 1), axis=0))
+        both = np.unique(np.concatenate(found), axis=0)
+        return [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])]
+
+    return blockwise([voxels, objects] if same_object else [voxels], 1, pairs, "src long, dst long", block).distinct()
 
 
-def surface_voxels(voxels: DataFrame) -> DataFrame:
+def surface_voxels(voxels: DataFrame, block: tuple[int, int, int] = BLOCK) -> DataFrame:
     """Voxels of which a face neighbour has another label or none; beyond the volume there is none."""
-    near = shifted(voxels, offsets(1), "label").join(voxels, [*ZYX, "label"]).groupBy(*ZYX, "label").count().where("count = 6")
-    return voxels.join(near, [*ZYX, "label"], "left_anti")
+
+    def surface(arrays: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
+        own = arrays[0]
+        keep = np.zeros(own.shape, bool)
+        for o in offsets(1):
+            keep |= neighbour(own, o) != own
+        return cells(keep & (own != 0), begin, 1, own)
+
+    return blockwise([voxels], 1, surface, "z int, y int, x int, label long", block)
 
 
 def label_with_mask(voxels: DataFrame, column: str, mask: DataFrame, low: float = -1, high: float = float("inf"), surface_only: bool = False) -> DataFrame:

@@ -54,6 +54,14 @@ def _solid(s: SparkSession, d: str) -> DataFrame:
     return voxels.threshold(_raw(s, d), "value", SOLID).select(*ZYX, F.expr("cast(1 + z % 2 as bigint) label"))
 
 
+def _halves(s: SparkSession, d: str) -> DataFrame:
+    return voxels.threshold(_raw(s, d), "value", SOLID).select(*ZYX, F.expr("cast(1 + y div 10 as bigint) label"))
+
+
+def _sparse(s: SparkSession, d: str) -> DataFrame:
+    return voxels.threshold(_raw(s, d), "value", 400000).select(*ZYX, F.expr("cast(1 + o_custkey % 40 as bigint) label"))
+
+
 def _seg1(s: SparkSession, d: str) -> DataFrame:
     return _raw(s, d).select(*ZYX, F.expr("cast(substr(o_orderpriority, 1, 1) as bigint) label"))
 
@@ -81,6 +89,8 @@ BASE = f"""WITH RECURSIVE raw AS (
 lat AS (SELECT CAST(i // 400 AS INT) AS z, CAST(i // 20 % 20 AS INT) AS y, CAST(i % 20 AS INT) AS x FROM range((SELECT nz * 400 FROM dims)) t(i)),
 fg AS (SELECT z, y, x, 1::BIGINT AS label FROM raw WHERE value >= {FOREGROUND}),
 solid AS (SELECT z, y, x, CAST(1 + z % 2 AS BIGINT) AS label FROM raw WHERE value >= {SOLID}),
+halves AS (SELECT z, y, x, CAST(1 + y // 10 AS BIGINT) AS label FROM raw WHERE value >= {SOLID}),
+sparse AS (SELECT z, y, x, CAST(1 + o_custkey % 40 AS BIGINT) AS label FROM raw WHERE value >= 400000),
 seg1 AS (SELECT z, y, x, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS label FROM raw),
 seg2 AS (SELECT z, y, x, CAST(CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS BIGINT) AS label FROM raw WHERE o_orderstatus <> 'P'),
 mask AS (SELECT z, y, x FROM raw WHERE o_custkey % 3 <> 0),
@@ -165,22 +175,22 @@ def relabel_lookup(s, d):
 
 
 def _touching(connectivity: int, same: str = "") -> str:
-    return f"SELECT DISTINCT least(a.label, b.label) AS src, greatest(a.label, b.label) AS dst FROM seg1 a, (VALUES {_near(connectivity, True)}) n(dz, dy, dx) JOIN seg1 b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx {same} WHERE a.label <> b.label"
+    return f"SELECT DISTINCT least(a.label, b.label) AS src, greatest(a.label, b.label) AS dst FROM sparse a, (VALUES {_near(connectivity, True)}) n(dz, dy, dx) JOIN sparse b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx {same} WHERE a.label <> b.label"
 
 
 @query(_touching(1))
 def touching_ids_c1(s, d):
-    return voxels.touching_ids(_seg1(s, d), 1)
+    return voxels.touching_ids(_sparse(s, d), 1)
 
 
 @query(_touching(3))
 def touching_ids_c3(s, d):
-    return voxels.touching_ids(_seg1(s, d), 3)
+    return voxels.touching_ids(_sparse(s, d), 3)
 
 
 @query(_touching(2, "JOIN seg2 oa ON (oa.z, oa.y, oa.x) = (a.z, a.y, a.x) JOIN seg2 ob ON (ob.z, ob.y, ob.x) = (b.z, b.y, b.x) AND ob.label = oa.label"))
 def touching_ids_same_object(s, d):
-    return voxels.touching_ids(_seg1(s, d), 2, _seg2(s, d))
+    return voxels.touching_ids(_sparse(s, d), 2, _seg2(s, d))
 
 
 def _component_sql(table: str, near: str, having: str = "", same: str = "") -> str:
@@ -239,6 +249,12 @@ def deduplicate_ids(s, d):
     return components.deduplicate_ids(_seg1(s, d), _frame(s, d), 1, block=BLOCK)
 
 
+@query("SELECT z, y, x, CAST(7 + y // 10 AS BIGINT) AS label FROM raw WHERE value IS NOT NULL")
+def deduplicate_ids_unique(s, d):
+    whole = _raw(s, d).select(*ZYX, F.expr("cast(7 + y div 10 as bigint) label"))
+    return components.deduplicate_ids(whole, _frame(s, d), 3, block=BLOCK)
+
+
 @query(", m AS (SELECT seg1.* FROM seg1 SEMI JOIN mask USING (z, y, x)), k AS (SELECT label AS old, row_number() OVER (ORDER BY label) AS label FROM m GROUP BY m.label HAVING count(*) >= (SELECT count(*) // 5 FROM m)) SELECT z, y, x, CAST(k.label AS BIGINT) AS label FROM m JOIN k ON k.old = m.label")
 def clean_components(s, d):
     seg, mask = _seg1(s, d), _mask(s, d)
@@ -316,9 +332,20 @@ def contact_area_by_organelle(s, d):
 # --- morphology --------------------------------------------------------------------------------
 
 
-@query("SELECT a.z, a.y, a.x, a.label FROM solid a, n6 JOIN solid b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND b.label = a.label GROUP BY ALL HAVING count(*) = 6")
+@query("SELECT a.z, a.y, a.x, a.label FROM halves a, n6 JOIN halves b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND b.label = a.label GROUP BY ALL HAVING count(*) = 6")
 def erode_labels(s, d):
-    return morphology.erode(_solid(s, d), _frame(s, d))
+    return morphology.erode(_halves(s, d), _frame(s, d), block=BLOCK)
+
+
+@query("SELECT z, y, x, label FROM halves a WHERE NOT EXISTS (SELECT 1 FROM (VALUES " + ", ".join(f"({z}, {y}, {x})" for z in range(-2, 3) for y in range(-2, 3) for x in range(-2, 3) if 0 < abs(z) + abs(y) + abs(x) <= 2) + ") n(dz, dy, dx) LEFT JOIN halves b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx WHERE b.label IS DISTINCT FROM a.label)")
+def erode_labels_twice(s, d):
+    return morphology.erode(_halves(s, d), _frame(s, d), 2, block=BLOCK)
+
+
+@query("SELECT DISTINCT z + dz AS z, y + dy AS y, x + dx AS x, 1::BIGINT AS label FROM raw, dims, (VALUES " + ", ".join(f"({z}, {y}, {x})" for z in range(-3, 4) for y in range(-3, 4) for x in range(-3, 4) if abs(z) + abs(y) + abs(x) <= 3) + ") n(dz, dy, dx) WHERE value >= 440000 AND z + dz BETWEEN 0 AND nz - 1 AND y + dy BETWEEN 0 AND 19 AND x + dx BETWEEN 0 AND 19")
+def dilate_three_times(s, d):
+    few = voxels.threshold(_raw(s, d), "value", 440000).select(*ZYX, F.lit(1).cast("long").alias("label"))
+    return morphology.dilate(few, _frame(s, d), 3, block=BLOCK)
 
 
 @query(", b1 AS (SELECT z, y, x, 1::BIGINT AS label FROM solid) SELECT a.z, a.y, a.x, a.label FROM b1 a, n18 JOIN b1 b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL HAVING count(*) = 18")
@@ -344,13 +371,13 @@ def surface_voxels(s, d):
     return voxels.surface_voxels(_solid(s, d))
 
 
-@query(""", b1 AS (SELECT z, y, x FROM solid WHERE label = 1),
+@query(""", b1 AS (SELECT z, y, x FROM halves WHERE label = 1),
     e AS (SELECT a.z, a.y, a.x FROM b1 a, n6, dims LEFT JOIN b1 b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx
           GROUP BY ALL HAVING count(*) FILTER (WHERE b.z IS NULL AND a.z + dz BETWEEN 0 AND nz - 1 AND a.y + dy BETWEEN 0 AND 19 AND a.x + dx BETWEEN 0 AND 19) = 0),
     g AS (SELECT z, y, x FROM e UNION SELECT z + dz, y + dy, x + dx FROM e, n6, dims WHERE z + dz BETWEEN 0 AND nz - 1 AND y + dy BETWEEN 0 AND 19 AND x + dx BETWEEN 0 AND 19)
     SELECT z, y, x, 1::BIGINT AS label FROM g""")
 def mask_erosion_dilation_list(s, d):
-    return morphology.mask_operations(_solid(s, d), _frame(s, d), [("erosion", 1), ("dilation", 1)], value=1)
+    return morphology.mask_operations(_halves(s, d), _frame(s, d), [("erosion", 1), ("dilation", 1)], value=1)
 
 
 def _smooth_sql(sigma: float) -> str:
