@@ -92,6 +92,10 @@ class Frame:
         """Blocks along each axis."""
         return tuple(-(-s // b) for s, b in zip(self.shape, block, strict=True))
 
+    def first_id(self, index: int, block: tuple[int, int, int]) -> int:
+        """What is added to a block's own ids 1..n so that no two blocks share one."""
+        return index * block[0] * block[1] * block[2]
+
     def block(self, index: int, block: tuple[int, int, int], halo: int = 0) -> tuple[Roi, Roi]:
         """(read, write) boxes of the block with this row-major index; reads reach ``halo`` voxels further, inside the volume."""
         _, ny, nx = self.blocks(block)

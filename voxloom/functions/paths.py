@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import posixpath
 import re
 
@@ -57,3 +58,16 @@ def public_https(path: str) -> str:
     if not m:
         return path
     return f"https://{m.group(2)}.s3.amazonaws.com/{m.group(3)}" if m.group(1) == "s3" else f"https://storage.googleapis.com/{m.group(2)}/{m.group(3)}"
+
+
+def run_folder(name: str, at: datetime.datetime | None = None) -> str:
+    """A folder name for one run: the name and the time."""
+    return f"{name}-{at or datetime.datetime.now():%Y%m%d.%H%M%S}"
+
+
+def size_text(count: int) -> str:
+    """A number of bytes for people: 1536 is 1.5 KB."""
+    value, units = float(count), ["B", "KB", "MB", "GB", "TB", "PB"]
+    while abs(value) >= 1024 and len(units) > 1:
+        value, units = value / 1024, units[1:]
+    return f"{value:.1f} {units[0]}" if units[0] != "B" else f"{count} B"

@@ -43,6 +43,13 @@ def per_object(voxels: DataFrame, frame: Frame, kernel: Callable[[int, np.ndarra
     return rows.mapInArrow(applied, schema)
 
 
+def batched(weights: DataFrame, batches: int) -> DataFrame:
+    """Adds ``batch`` (0..batches - 1) to rows (id, weight): heaviest first, dealt forth and back, so that sums stay close."""
+    ranked = numbered(weights.withColumn("order", F.struct((-F.col("weight")).alias("w"), "id")), "order", "place").drop("order")
+    turn, at = F.floor((F.col("place") - 1) / batches), (F.col("place") - 1) % batches
+    return ranked.withColumn("batch", F.when(turn % 2 == 0, at).otherwise(batches - 1 - at).cast("int")).drop("place")
+
+
 # --- lines -------------------------------------------------------------------------------------
 
 
@@ -363,32 +370,45 @@ def skeletonize(voxels: DataFrame, frame: Frame, erosion: bool = True, shortest:
 # --- mutex watershed ---------------------------------------------------------------------------
 
 
-def mutex_watershed(affinities: np.ndarray, neighbourhood: list[tuple[int, int, int]], adjacent_bias: float = -0.4, far_biases: list[float] | float = -0.6, filter_value: float = 0.5, seed: int = 0) -> np.ndarray:
+#: Fixed value: the share of the smoothed affinities (less a half) that is added to an affinity.
+SMOOTHING = 0.001
+
+
+def _smoothed(channels: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Each channel smoothed along its three axes; at the border the array is mirrored."""
+    for axis, s in enumerate(sigma, 1):
+        if s > 0:
+            weights = morphology.gaussian_weights(float(s))
+            r, n = len(weights) // 2, channels.shape[axis]
+            wide = np.pad(channels, [(r, r) if a == axis else (0, 0) for a in range(4)], mode="symmetric")
+            channels = sum(w * np.take(wide, range(k, k + n), axis) for k, w in enumerate(weights))
+    return channels
+
+
+def mutex_watershed(affinities: np.ndarray, neighbourhood: list[tuple[int, int, int]], adjacent_bias: float = -0.4, far_biases: list[float] | float = -0.6, filter_value: float = 0.5, seed: int = 0, noise: float = 1e-4) -> np.ndarray:
     """Labels 1..n of one block from affinities (channel, z, y, x): uint8 counts as /255.
 
     Edges go by falling |weight|: attractive ones merge unless a mutex forbids it, repulsive ones set a
-    mutex.  Noise that breaks ties is seeded.  Fragments below the mean affinity ``filter_value`` are dropped.
+    mutex.  A trace of the smoothed affinities lets ties go by their surroundings; noise that breaks the
+    others is seeded.  A list of far biases moves on with each offset longer than the one before it.
+    Fragments below the mean affinity ``filter_value`` are dropped.
     """
     weights = affinities / 255.0 if affinities.dtype == np.uint8 else affinities.astype(float)
     shape = weights.shape[1:]
     if weights.max(initial=0) < 1e-4:
         return np.zeros(shape, np.int64)
     mean = weights.mean(0)
-    lengths = [math.sqrt(sum(v * v for v in o)) for o in neighbourhood]
-    listed = iter(far_biases) if isinstance(far_biases, list) else None
-    last, bias = 1.0, 0.0
-    shifts = []
-    for size in lengths:
-        if size <= 1:
-            shifts.append(adjacent_bias)
-        elif listed is None:
-            shifts.append(size * far_biases)
-        else:
-            if size > last:
-                bias, last = next(listed), size
-            shifts.append(bias)
+    shifts, listed = [], iter(far_biases) if isinstance(far_biases, list) else None
+    before = bias = None
+    for offset in neighbourhood:
+        size = math.sqrt(sum(v * v for v in offset))
+        if listed is not None and size > 1 and before is not None and size > before:
+            bias = next(listed)
+        shifts.append(adjacent_bias if size <= 1 else bias if listed is not None else size * far_biases)
+        before = size
     rng = np.random.Generator(np.random.PCG64(seed))
-    noisy = weights + np.array(shifts)[:, None, None, None] + rng.normal(0, 1e-4, weights.shape)
+    smooth = SMOOTHING * (_smoothed(weights, np.array(neighbourhood).max(0) / 3) - 0.5)
+    noisy = weights + smooth + np.array(shifts)[:, None, None, None] + rng.normal(0, noise, weights.shape)
     ids = np.arange(mean.size).reshape(shape)
     a, b, w = [], [], []
     for channel, o in enumerate(neighbourhood):
@@ -484,13 +504,16 @@ def _eroded(labels: np.ndarray) -> np.ndarray:
     return np.where(keep, labels, 0)
 
 
-def watershed(affinities: DataFrame, frame: Frame, neighbourhood: list[tuple[int, int, int]], block: tuple[int, int, int], connectivity: int = 2, opening: bool = True, least: float = 0, most: float = float("inf"), padding: int | None = None, **options) -> DataFrame:
+def watershed(affinities: DataFrame, frame: Frame, neighbourhood: list[tuple[int, int, int]], block: tuple[int, int, int], connectivity: int = 2, opening: bool = True, least: float = 0, most: float = float("inf"), padding: int | None = None, mask: DataFrame | None = None, holes: bool = False, **options) -> DataFrame:
     """(z, y, x, label) of objects: fragments that touch across faces of blocks are one, numbered by their first voxel.
 
     With ``opening`` fragments are eroded before they are joined, which parts those that only touch, and
     dilated afterwards.  Objects have least <= voxels <= most.  Without it, any fragments that touch
-    across a face are joined, as in the reference.
+    across a face are joined, different objects too.  Outside ``mask`` affinities count as 0 and objects end;
+    with ``holes`` holes in objects are filled.
     """
+    if mask is not None:
+        affinities = affinities.join(mask.select(*ZYX).distinct(), ZYX, "left_semi")
     fragments = watershed_blocks(affinities, frame, neighbourhood, block, padding, connectivity, opening, **options)
     fragments = durable(fragments.withColumn("block", components._block(frame, block)))
     on_face = F.lit(False)
@@ -507,5 +530,5 @@ def watershed(affinities: DataFrame, frame: Frame, neighbourhood: list[tuple[int
     names = numbered(sizes.select("root", "first"), "first", "id")
     out = rooted.join(names, "root").select(*ZYX, F.col("id").alias("label"))
     if opening:
-        out = components.clean_components(morphology.dilate(out, frame, 1, connectivity), frame, least, most)
-    return out
+        out = components.clean_components(morphology.dilate(out, frame, 1, connectivity), frame, least, most, mask)
+    return components.fill_holes(out, frame, connectivity) if holes else out
