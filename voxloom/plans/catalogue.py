@@ -6,7 +6,9 @@ k = o_orderkey counts voxels of a 20 x 20 x n volume in raster order of planes o
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from voxloom.frame import Frame, Roi, scaled_to_integers
 from voxloom.operators import assign, components, measure, morphology, objects, voxels
 from voxloom.operators.voxels import ZYX
+from voxloom.session import checkpoint_folder
+from voxloom.sources import volumes
 from voxloom.sources.shards import Sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -531,6 +535,78 @@ def shard_assignment_whole(s, d):
     return ids.select("label", shard.cast("long").alias("shard"), minishard.cast("long").alias("minishard"))
 
 
+# --- sources and sinks -------------------------------------------------------------------------
+
+
+def _stored(s: SparkSession, df: DataFrame, d: str, roi: Roi | None = None, path: str | None = None) -> str:
+    path = path or f"{checkpoint_folder(s)}/volume-{uuid.uuid4().hex}.zarr/s0"
+    volumes.write_zarr(df, _frame(s, d), path, (16, 16, 16), roi=roi)
+    return path
+
+
+@query("SELECT z, y, x, label FROM seg1")
+def zarr_round_trip(s, d):
+    return volumes.read_volume(s, _stored(s, _seg1(s, d), d))[0]
+
+
+@query("SELECT z, y, x, label FROM seg1 WHERE z >= 1 AND z < 20 AND y >= 5 AND y < 12 AND x >= 0 AND x < 7")
+def zarr_read_by_roi(s, d):
+    return volumes.read_volume(s, _stored(s, _seg1(s, d), d), roi=Roi((1, 5, 0), (19, 7, 7)))[0]
+
+
+@query("SELECT z, y, x, label FROM seg1 WHERE NOT (z >= 1 AND z < 20 AND y >= 5 AND y < 12 AND x >= 3 AND x < 18) UNION ALL SELECT z, y, x, label FROM fg WHERE z >= 1 AND z < 20 AND y >= 5 AND y < 12 AND x >= 3 AND x < 18")
+def zarr_write_by_roi(s, d):
+    path = _stored(s, _seg1(s, d), d)
+    return volumes.read_volume(s, _stored(s, _fg(s, d), d, Roi((1, 5, 3), (19, 7, 15)), path))[0]
+
+
+@query("SELECT CAST(z // 4 AS INT) AS z, CAST(y // 4 AS INT) AS y, CAST(x // 4 AS INT) AS x, label FROM seg1 WHERE z % 4 = 0 AND y % 4 = 0 AND x % 4 = 0")
+def zarr_multiscale(s, d):
+    path = f"{checkpoint_folder(s)}/group-{uuid.uuid4().hex}.zarr"
+    volumes.write_multiscale(_seg1(s, d), _frame(s, d), path, "seg1", 3, (16, 16, 16))
+    return volumes.read_volume(s, f"{path}/s2")[0]
+
+
+@query(f", p AS ({_PHYSICAL}) SELECT label AS id, round(count(*) * 3.54e0 * 4e0 * 4.5e0, 4) AS volume, round(avg(x), 4) AS com_x, round(max(z), 4) AS max_z FROM p GROUP BY label")
+def object_csv_round_trip(s, d):
+    path = f"{checkpoint_folder(s)}/objects-{uuid.uuid4().hex}.csv"
+    volumes.write_objects(measure.object_table(measure.measure(_seg1(s, d), _frame(s, d))), path)
+    out = volumes.read_objects(s, path)
+    return _rounded(out.select(F.col("Object ID").cast("long").alias("id"), F.col("Volume (nm^3)").alias("volume"), F.col("COM X (nm)").alias("com_x"), F.col("MAX Z (nm)").alias("max_z")))
+
+
+# --- objects whose results SQL can tell ----------------------------------------------------------
+
+
+def _rods(s: SparkSession, d: str) -> DataFrame:
+    return _raw(s, d).select(*ZYX, F.expr("cast(1 + z * 20 + y as bigint) label"))
+
+
+@query("SELECT CAST(1 + z * 20 + y AS BIGINT) AS label, round((z + 0.5e0) * 3.54e0, 4) AS z, round((y + 0.5e0) * 4e0, 4) AS y, round((min(x) + 0.5e0) * 4.5e0, 4) AS low_x, round((max(x) + 0.5e0) * 4.5e0, 4) AS high_x FROM raw GROUP BY z, y HAVING count(*) > 1")
+def fit_lines_rods(s, d):
+    out = objects.fit_lines(_rods(s, d), _frame(s, d)).where("abs(start_x - end_x) > 1e-9")
+    return _rounded(out.select("label", F.col("start_z").alias("z"), F.col("start_y").alias("y"), F.least("start_x", "end_x").alias("low_x"), F.greatest("start_x", "end_x").alias("high_x")))
+
+
+@query("SELECT CAST(1 + z * 20 + y AS BIGINT) AS label, (count(*) - 1) * 4e0 AS longest_path, CAST(count(*) > 1 AS BIGINT) AS branches, 4e0 AS radius_mean, 0e0 AS radius_std FROM raw GROUP BY z, y")
+def skeletonize_rods(s, d):
+    frame = replace(_frame(s, d), voxel=(4.0, 4.0, 4.0))
+    return _rounded(objects.skeletonize(_rods(s, d), frame, False, 0.0, 1.0).select("label", "longest_path", "branches", "radius_mean", "radius_std"))
+
+
+@query(_component_sql("fg", "n6", "HAVING count(*) >= 2"))
+def watershed_objects(s, d):
+    """Affinities of 1 between neighbours that are both foreground: objects are its components, across all blocks."""
+    near = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    fg, frame = _fg(s, d).select(*ZYX), _frame(s, d)
+    ends = None
+    for k, o in enumerate(near):  # an affinity lies at the first voxel of its pair
+        part = fg.join(voxels.shifted(fg, [tuple(-v for v in o)]), ZYX).withColumn("k", F.lit(k))
+        ends = part if ends is None else ends.union(part)
+    affs = ends.groupBy(*ZYX).agg(F.collect_set("k").alias("k")).select(*ZYX, F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.array_contains("k", k).cast("double")).alias("affs"))
+    return objects.watershed(affs, frame, near, BLOCK, 1, False, adjacent_bias=-0.5, far_biases=0.0, filter_value=0.01)
+
+
 @query("SELECT * FROM (VALUES ('a', 177, 200, 200, 50), ('b', 7, 8, 8, 2), ('c', 7, 9, 11, 2), ('d', 4, 4, 4, 1)) t(name, z, y, x, factor)")
 def voxel_frame_scaling(s, d):
     sizes = {"a": (3.54, 4, 4), "b": (3.5, 4, 4), "c": (3.5, 4.5, 5.5), "d": (4, 4, 4)}

@@ -254,6 +254,8 @@ def _store(path: str):
     """The file system (local, S3, GCS, HDFS) and the place in it; executors and the driver open their own."""
     from pyarrow import fs
 
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path)
 
 
