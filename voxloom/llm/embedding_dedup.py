@@ -17,8 +17,9 @@
 6.  Nothing emits all pairs of a shard: a task emits a count for each vector, a spanning forest of its
     links, and pairs only where an end lies outside the other's home shard.
 
-A shard holds some ``SHARD`` vectors of one label (times ``OVERLAP``) while a label has at most
-``CENTRES`` times that many; a hot label has more shards, not larger ones.
+A shard holds some ``SHARD`` vectors of one label (times ``OVERLAP``) while a label has at most a
+quarter of its sample times that many (1,000 centres, fewer where many labels share ``SAMPLE_ALL``); of
+hotter labels, and of those after the ``LABELS`` largest, shards grow with the data.
 
 Edge cases.  Vectors that are null, empty, zero or hold null or non-finite components, and rows whose
 label is null, link with nothing.  Vectors of different lengths never link.  Rows that repeat an id and a vector count
