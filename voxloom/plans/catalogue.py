@@ -63,7 +63,7 @@ def _halves(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sparse(s: SparkSession, d: str) -> DataFrame:
-    return voxels.threshold(_raw(s, d), "value", 400000).select(*ZYX, F.expr("cast(1 + o_custkey % 40 as bigint) label"))
+    return voxels.threshold(_raw(s, d), "value", 400000).select(*ZYX, F.expr("cast(1 + o_custkey % 400 as bigint) label"))
 
 
 def _seg1(s: SparkSession, d: str) -> DataFrame:
@@ -94,7 +94,7 @@ lat AS (SELECT CAST(i // 400 AS INT) AS z, CAST(i // 20 % 20 AS INT) AS y, CAST(
 fg AS (SELECT z, y, x, 1::BIGINT AS label FROM raw WHERE value >= {FOREGROUND}),
 solid AS (SELECT z, y, x, CAST(1 + z % 2 AS BIGINT) AS label FROM raw WHERE value >= {SOLID}),
 halves AS (SELECT z, y, x, CAST(1 + y // 10 AS BIGINT) AS label FROM raw WHERE value >= {SOLID}),
-sparse AS (SELECT z, y, x, CAST(1 + o_custkey % 40 AS BIGINT) AS label FROM raw WHERE value >= 400000),
+sparse AS (SELECT z, y, x, CAST(1 + o_custkey % 400 AS BIGINT) AS label FROM raw WHERE value >= 400000),
 seg1 AS (SELECT z, y, x, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS label FROM raw),
 seg2 AS (SELECT z, y, x, CAST(CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS BIGINT) AS label FROM raw WHERE o_orderstatus <> 'P'),
 mask AS (SELECT z, y, x FROM raw WHERE o_custkey % 3 <> 0),
