@@ -167,6 +167,21 @@ def test_skipped_shards_hold_no_links():
         assert own[i][0] in own[j] or own[j][0] in own[i]
 
 
+def test_samples_follow_the_counts():
+    e = embedding_dedup
+    assert e.sample_sizes({}) == {}
+    assert e.sample_sizes({k: 5_000 for k in range(10)}) == dict.fromkeys(range(10), e.SAMPLE)
+    assert e.sample_sizes({"hot": 10**9}) == {"hot": 4 * e.CENTRES}
+    mixed = e.sample_sizes({"hot": 10**7} | dict.fromkeys(range(1000), 1_000))
+    assert mixed["hot"] == 4 * e.CENTRES and set(mixed[k] for k in range(1000)) == {64}
+    crowded = e.sample_sizes(dict.fromkeys(range(e.LABELS), 10**6))
+    assert set(crowded.values()) == {64}
+    for counts in ({0: 10**9, 1: 10**6, 2: 800}, {k: 10**k for k in range(3, 10)}):
+        sizes = e.sample_sizes(counts)
+        assert sum(sizes.values()) <= e.SAMPLE_ALL + 64 * len(counts)
+        assert [sizes[k] for k in sorted(counts, key=counts.get)] == sorted(sizes.values())
+
+
 # --- 3 -----------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,7 @@
 
 1.  Vectors are checked and normalised in double precision; equal vectors of one label are folded
     into one with a count, so copies never meet each other again.
-2.  Centres are fitted on a bounded sample (``SAMPLE`` vectors of each label, in hash order).  A
-    vector's home is the shard of its label and nearest centre; it also joins the shards of the next
+2.  Centres are fitted on a bounded sample of each label (``sample_sizes``, in hash order).  A vector's home is the shard of its label and nearest centre; it also joins the shards of the next
     nearest centres (``OVERLAP`` in all), unless the plane between the two centres is further off than
     half the length of a link: of two linked vectors one is nearer than that.
 3.  Each shard builds a graph by inserting its vectors in doubling batches: a batched greedy search
@@ -17,9 +16,10 @@
 6.  Nothing emits all pairs of a shard: a task emits a count for each vector, a spanning forest of its
     links, and pairs only where an end lies outside the other's home shard.
 
-A shard holds some ``SHARD`` vectors of one label (times ``OVERLAP``) while a label has at most a
-quarter of its sample times that many (1,000 centres, fewer where many labels share ``SAMPLE_ALL``); of
-hotter labels, and of those after the ``LABELS`` largest, shards grow with the data.
+A shard holds some ``SHARD`` vectors of one label (times ``OVERLAP``) while a label has at most
+``CENTRES`` times that many and all labels together a quarter of ``SAMPLE_ALL`` times that many; beyond,
+centres are dealt by the labels' counts, and shards grow with the data, as do those of labels after the
+``LABELS`` largest, which are one shard each.
 
 Edge cases.  Vectors that are null, empty, zero or hold null or non-finite components, and rows whose
 label is null, link with nothing.  Vectors of different lengths never link.  Rows that repeat an id and a vector count
@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxloom.arrow import runs
 from voxloom.llm.common import small_batches, union_find
@@ -43,7 +44,7 @@ from voxloom.operators.graph import components
 from voxloom.session import durable
 
 THRESHOLD = 0.93
-#: Vectors of a shard, centres of a label at most, vectors of a label that its centres are fitted on.
+#: Vectors of a shard, centres of a label at most, vectors of a label that its centres are fitted on (four a centre if that is more).
 SHARD, CENTRES, SAMPLE = 750, 4096, 4000
 #: Vectors that centres are fitted on, of all labels together; labels that are cut into shards at most (the largest).
 SAMPLE_ALL, LABELS = 1 << 16, 4096
@@ -189,11 +190,22 @@ def _centres(vectors: np.ndarray, k: int) -> np.ndarray:
         centres = np.concatenate([centres, new[None]])
         far = np.minimum(far, 2 - 2 * (vectors @ new))
     for _ in range(8):
-        own = (vectors @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+        own = np.concatenate([(part @ centres.T - (centres**2).sum(1) / 2).argmax(1) for part in np.array_split(vectors, math.ceil(len(vectors) / 4096))])
         centres = np.stack([vectors[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
     return centres
 
 
+def sample_sizes(counts: dict, least: int = 64) -> dict:
+    """How many vectors of each label centres are fitted on, ``SAMPLE_ALL`` in all besides the ``least`` of each.
+
+    Each label asks for four vectors a centre; what is over is shared evenly, up to ``SAMPLE`` a label.
+    """
+    asked = {label: 4 * min(CENTRES, math.ceil(count / SHARD)) for label, count in counts.items()}
+    total = max(1, sum(asked.values()))
+    even = min(SAMPLE, max(0, SAMPLE_ALL - total) // max(1, len(counts)))
+    return {label: max(least, even, n * min(SAMPLE_ALL, total) // total) for label, n in asked.items()}
+
+
 def nearest_shards(centres: np.ndarray, vector: np.ndarray, reach: float) -> np.ndarray:
     """The nearest centre, and of the next ones (``OVERLAP`` in all) those whose parting plane is within ``reach``."""
     score = centres @ vector - (centres**2).sum(1) / 2
@@ -239,11 +251,12 @@ def shards(points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = points.sparkSession
     wide = points.groupBy("label").count().where(F.col("count") > SHARD).orderBy(F.desc("count"), "label").limit(LABELS)
     counts = {r[0]: r[1] for r in wide.collect()}
-    per = max(64, min(SAMPLE, SAMPLE_ALL // max(1, len(counts))))
     centres = {}
     if counts:
-        few = points.select("label", "vec_id", "unit", (F.xxhash64("vec_id") / 2.0**63).alias("u")).join(F.broadcast(wide), "label")
-        sample = few.where(F.col("u") < F.lit(2.0 * per) / F.col("count") - 1).select("label", "vec_id", "unit").toArrow().sort_by("vec_id")
+        shares = [(label, n / counts[label]) for label, n in sample_sizes(counts).items()]
+        dealt = spark.createDataFrame(shares, StructType([points.schema["label"], StructField("share", DoubleType())]))
+        few = points.select("label", "vec_id", "unit", (F.xxhash64("vec_id") / 2.0**63).alias("u")).join(F.broadcast(dealt), "label")
+        sample = few.where(F.col("u") < 2 * F.col("share") - 1).select("label", "vec_id", "unit").toArrow().sort_by("vec_id")
         labels = np.array(sample.column("label").to_pylist(), object)
         for label, count in counts.items():
             own = [np.array(v.values) for v in sample.filter(pa.array(labels == label)).column("unit")]
