@@ -9,7 +9,7 @@
     from the medoid finds candidates, which are pruned robustly (``DEGREE``, ``ALPHA``), and edges are
     made mutual.
 4.  The adjacency lists of all shards are united.  A shard's searchable graph has its members and, as
-    leaves, the neighbours that its members got in other shards.
+    leaves, the neighbours within reach of a link that its members got in other shards.
 5.  Each vector is searched in its home shard: greedily from the medoid, then, where the search ends
     in range, by expanding through all vertices within a slack of the range.  Hits are verified by
     their exact cosine.
@@ -295,19 +295,22 @@ def _group(df: DataFrame, extra: list[str]) -> DataFrame:
     return df.repartition("__group").sortWithinPartitions("__group", "vec_id").select("__group", *extra)
 
 
-def adjacency(members: DataFrame) -> DataFrame:
-    """(vec_id, near): each vector's united adjacency list over the graphs of all its shards."""
+def adjacency(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(vec_id, near, close): each vector's united adjacency list over the graphs of all its shards, and what of it is linked or within the slack."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["__group"]):
-            ids = table.column("vec_id").to_numpy()
-            edges = build(_matrix(table))
+            ids, unit = table.column("vec_id").to_numpy(), _matrix(table)
+            edges = build(unit)
             src, slot = np.nonzero(edges >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[src]), pa.array(ids[edges[src, slot]])], names=["src", "dst"])
+            dst = edges[src, slot]
+            close = np.concatenate([np.einsum("ed,ed->e", unit[a], unit[b]) for a, b in zip(*(np.array_split(e, 1 + len(src) // 4096) for e in (src, dst)), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[src]), pa.array(ids[dst]), pa.array(close >= threshold - SLACK)], names=["src", "dst", "close"])
 
     kind = members.schema["vec_id"].dataType.simpleString()
-    edges = _group(members, ["vec_id", "unit"]).mapInArrow(built, f"src {kind}, dst {kind}")
-    return edges.groupBy(F.col("src").alias("vec_id")).agg(F.sort_array(F.collect_set("dst")).alias("near"))
+    edges = _group(members, ["vec_id", "unit"]).mapInArrow(built, f"src {kind}, dst {kind}, close boolean")
+    lists = (F.sort_array(F.collect_set("dst")).alias("near"), F.sort_array(F.collect_set(F.when(F.col("close"), F.col("dst")))).alias("close"))
+    return edges.groupBy(F.col("src").alias("vec_id")).agg(*lists)
 
 
 def links(embeddings: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -319,10 +322,10 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     points = durable(unit_vectors(embeddings))
     placed = durable(shards(points, threshold))
     members = placed.withColumn("shard", F.explode("shards"))
-    near = durable(adjacency(members))
-    # A shard's graph: members with their lists, and as leaves what those lists name beyond the shard.
-    inside = members.join(near, "vec_id", "left").select("label", "shard", "vec_id", "unit", "copies", "home", "shards", "near", F.lit(True).alias("inside"))
-    named = inside.select("label", "shard", F.explode("near").alias("vec_id")).distinct()
+    near = durable(adjacency(members, threshold))
+    # A shard's graph: members with their lists, and as leaves what those lists name in reach beyond the shard.
+    inside = members.join(near.drop("close"), "vec_id", "left").select("label", "shard", "vec_id", "unit", "copies", "home", "shards", "near", F.lit(True).alias("inside"))
+    named = members.select("label", "shard", "vec_id").join(near.where(F.size("close") > 0).drop("near"), "vec_id").select("label", "shard", F.explode("close").alias("vec_id")).distinct()
     leaves = named.join(placed, ["label", "vec_id"]).where(~F.array_contains("shards", F.col("shard")))
     leaves = leaves.select("label", "shard", "vec_id", "unit", "copies", "home", "shards", F.array().cast(near.schema["near"].dataType).alias("near"), F.lit(False).alias("inside"))
     whole = _group(inside.unionByName(leaves), ["shard", "vec_id", "unit", "copies", "home", "shards", "near", "inside"])
