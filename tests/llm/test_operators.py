@@ -167,6 +167,23 @@ def test_skipped_shards_hold_no_links():
         assert own[i][0] in own[j] or own[j][0] in own[i]
 
 
+def test_links_of_dense_groups_share_a_shard():
+    """A dense group that eight shards part, and sparse pairs among thirty shards."""
+    rng = np.random.Generator(np.random.PCG64(8))
+
+    def shared(unit, k):
+        unit = unit / np.sqrt((unit**2).sum(1))[:, None]
+        centres = embedding_dedup._centres(unit[rng.permutation(len(unit))[:1000]], k)
+        own = [embedding_dedup.nearest_shards(centres, u, np.sqrt(2 - 2 * 0.93) / 2).tolist() for u in unit]
+        assert max(map(len, own)) <= embedding_dedup.OVERLAP
+        pairs = list(zip(*np.nonzero(np.triu(unit @ unit.T >= 0.93, 1)), strict=True))
+        return sum(own[i][0] in own[j] or own[j][0] in own[i] for i, j in pairs) / len(pairs)
+
+    assert shared(rng.normal(size=64) * 1.0 + rng.normal(size=(1500, 64)) * 0.27, 8) >= 0.999
+    pairs = rng.normal(size=(1000, 64))
+    assert shared(np.concatenate([pairs, pairs + rng.normal(size=pairs.shape) * 0.28]), 30) >= 0.97
+
+
 def test_samples_follow_the_counts():
     e = embedding_dedup
     assert e.sample_sizes({}) == {}

@@ -2,9 +2,11 @@
 
 1.  Vectors are checked and normalised in double precision; equal vectors of one label are folded
     into one with a count, so copies never meet each other again.
-2.  Centres are fitted on a bounded sample of each label (``sample_sizes``, in hash order).  A vector's home is the shard of its label and nearest centre; it also joins the shards of the next
-    nearest centres (``OVERLAP`` in all), unless the plane between the two centres is further off than
-    half the length of a link: of two linked vectors one is nearer than that.
+2.  Centres are fitted on a bounded sample of each label (``sample_sizes``, in hash order).  A vector's
+    home is the shard of its label and nearest centre.  Of two linked vectors one is nearer than half
+    the length of a link to the plane between their centres, so it may need the other's shard: a vector
+    also joins the next nearest shards whose plane is so near, ``NEAR`` in all, and up to ``OVERLAP`` in
+    all of those whose centre is within ``RADIUS``, as in dense groups that many shards part.
 3.  Each shard builds a graph by inserting its vectors in doubling batches: a batched greedy search
     from the medoid finds candidates, which are pruned robustly (``DEGREE``, ``ALPHA``), and edges are
     made mutual.
@@ -16,7 +18,7 @@
 6.  Nothing emits all pairs of a shard: a task emits a count for each vector, a spanning forest of its
     links, and pairs only where an end lies outside the other's home shard.
 
-A shard holds some ``SHARD`` vectors of one label (times ``OVERLAP``) while a label has at most
+A shard holds some ``SHARD`` vectors of one label (times ``NEAR``, in dense groups ``OVERLAP``) while a label has at most
 ``CENTRES`` times that many and all labels together a quarter of ``SAMPLE_ALL`` times that many; beyond,
 centres are dealt by the labels' counts, and shards grow with the data, as do those of labels after the
 ``LABELS`` largest, which are one shard each.
@@ -48,7 +50,8 @@ THRESHOLD = 0.93
 SHARD, CENTRES, SAMPLE = 750, 4096, 4000
 #: Vectors that centres are fitted on, of all labels together; labels that are cut into shards at most (the largest).
 SAMPLE_ALL, LABELS = 1 << 16, 4096
-OVERLAP = 2
+#: Shards that a vector joins if its halved link crosses over, and at most if their centres are within the radius.
+NEAR, OVERLAP, RADIUS = 4, 16, 0.8
 DEGREE, BEAM, ALPHA = 16, 32, 1.2
 #: Vertices so far below the threshold still pass the expansion on.
 SLACK = 0.05
@@ -207,11 +210,13 @@ def sample_sizes(counts: dict, least: int = 64) -> dict:
 
 
 def nearest_shards(centres: np.ndarray, vector: np.ndarray, reach: float) -> np.ndarray:
-    """The nearest centre, and of the next ones (``OVERLAP`` in all) those whose parting plane is within ``reach``."""
+    """The nearest centre, and those of the next ones whose parting plane is within ``reach``: ``NEAR`` in all, or within ``RADIUS`` ``OVERLAP``."""
     score = centres @ vector - (centres**2).sum(1) / 2
     near = np.argsort(-score, kind="stable")[:OVERLAP]
     apart = np.sqrt(((centres[near] - centres[near[0]]) ** 2).sum(1))
-    return near[score[near[0]] - score[near] <= reach * apart + 1e-9]
+    joins = score[near[0]] - score[near] <= reach * apart + 1e-9
+    joins[NEAR:] &= (vector @ vector - 2 * score[near[NEAR:]]) <= RADIUS**2
+    return near[joins]
 
 
 def _unit(values: np.ndarray) -> np.ndarray | None:
