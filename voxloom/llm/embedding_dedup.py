@@ -89,22 +89,46 @@ def greedy(unit: np.ndarray, edges: np.ndarray, queries: np.ndarray, start: int,
         done[active] = np.take_along_axis(all_done, order, 1)
 
 
-def prune(unit: np.ndarray, point: int, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Robust pruning: keep the nearest candidate, drop those that it serves alpha times better, and go on."""
-    candidates = candidates[candidates != point]
-    far = 2 - 2 * (unit[candidates] @ unit[point])
-    order = np.argsort(far, kind="stable")
-    candidates, far = candidates[order], far[order]
-    between = 2 - 2 * (unit[candidates] @ unit[candidates].T)
-    kept: list[int] = []
-    alive = np.ones(len(candidates), bool)
-    for i in range(len(candidates)):
-        if alive[i]:
-            kept.append(i)
-            if len(kept) == degree:
-                break
-            alive &= alpha * alpha * between[i] > far
-    return candidates[kept]
+def _distinct(pools: np.ndarray) -> np.ndarray:
+    """The rows sorted, with -1 for what repeats."""
+    pools = np.sort(pools, 1)
+    pools[:, 1:][pools[:, 1:] == pools[:, :-1]] = -1
+    return pools
+
+
+def prune(unit: np.ndarray, points: np.ndarray, pools: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Robust pruning of each point's row of candidates (-1: none), nearest first: keep one, drop those that it serves alpha times better, and go on."""
+    out = np.full((len(points), degree), -1)
+    n = np.zeros(len(points), int)
+    vectors = unit[np.maximum(pools, 0)]
+    far = 2 - 2 * np.einsum("pkd,pd->pk", vectors, unit[points])
+    far[(pools < 0) | (pools == points[:, None])] = np.inf
+    order = np.argsort(far, 1, kind="stable")
+    pools, far = np.take_along_axis(pools, order, 1), np.take_along_axis(far, order, 1)
+    vectors = np.take_along_axis(vectors, order[:, :, None], 1)
+    between = 2 - 2 * (vectors @ vectors.transpose(0, 2, 1))
+    alive = far < np.inf
+    for k in range(pools.shape[1]):
+        at = np.flatnonzero(alive[:, k] & (n < degree))
+        out[at, n[at]] = pools[at, k]
+        n[at] += 1
+        alive[at] &= alpha * alpha * between[at, k] > far[at]
+    return out
+
+
+def _pruned(unit: np.ndarray, points: np.ndarray, pools: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """``prune`` in parts of bounded memory, the longest rows of candidates first."""
+    out = np.full((len(points), degree), -1)
+    pools = np.sort(pools, 1)[:, ::-1]
+    sizes = (pools >= 0).sum(1)
+    order = np.argsort(-sizes, kind="stable")
+    done = 0
+    while done < len(order):
+        width = max(1, int(sizes[order[done]]))
+        part = order[done : done + max(1, (1 << 21) // (width * (width + unit.shape[1])))]
+        out[part] = prune(unit, points[part], pools[part, :width], degree, alpha)
+        done += len(part)
+    return out
 
 
 def medoid(unit: np.ndarray) -> int:
@@ -122,23 +146,23 @@ def build(unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float
     while built < n:
         batch = order[built : min(n, 2 * built, built + 512)]
         found, _ = greedy(unit, edges, unit[batch], start, beam)
-        asked: dict[int, list[int]] = {}
         mates = unit[batch] @ unit[batch].T
         np.fill_diagonal(mates, -np.inf)
         close = np.argsort(-mates, 1)[:, : min(4, len(batch) - 1)]
-        for i, point in enumerate(batch):
-            pool = np.unique(np.concatenate([found[i][found[i] >= 0], batch[close[i]]]))
-            own = prune(unit, int(point), pool, degree, alpha)
-            edges[point, : len(own)] = own
-            for other in own:
-                asked.setdefault(int(other), []).append(int(point))
-        for point, new in asked.items():
-            have = edges[point][edges[point] >= 0]
-            pool = np.unique(np.concatenate([have, new]))
-            if len(pool) > degree:
-                pool = prune(unit, point, pool, degree, alpha)
-            edges[point] = -1
-            edges[point, : len(pool)] = pool
+        edges[batch] = _pruned(unit, batch, _distinct(np.concatenate([found, batch[close]], 1)), degree, alpha)
+        # Back along the new edges: each vertex that they name has its own list and those who name it to choose from.
+        row, slot = np.nonzero(edges[batch] >= 0)
+        named = edges[batch][row, slot]
+        order_in = np.argsort(named, kind="stable")
+        named, asking = named[order_in], batch[row[order_in]]
+        targets, first, count = np.unique(named, return_index=True, return_counts=True)
+        pools = np.full((len(targets), degree + int(count.max(initial=0))), -1)
+        pools[:, :degree] = edges[targets]
+        pools[np.repeat(np.arange(len(targets)), count), degree + np.arange(len(named)) - np.repeat(first, count)] = asking
+        pools = _distinct(pools)
+        full = (pools >= 0).sum(1) > degree
+        edges[targets[~full]] = -np.sort(-pools[~full], 1)[:, :degree]
+        edges[targets[full]] = _pruned(unit, targets[full], pools[full], degree, alpha)
         built += len(batch)
     return edges
 
