@@ -155,8 +155,8 @@ def _thresholds(rows: DataFrame) -> dict[str, list[float]]:
 
 
 def learn(labelled: DataFrame) -> list[Rule]:
-    """The ordered rules that reject, of rows (doc_id, bad, f_* features) that the base conditions leave."""
-    rows = durable(labelled.withColumn("grow", F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2))
+    """The ordered rules that reject, of rows (doc_id, bad, f_* features) that the base conditions leave; they are read several times."""
+    rows = labelled.withColumn("grow", F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2)
     thresholds = _thresholds(rows)
     rules: list[Rule] = []
     covered = F.lit(False)
@@ -198,8 +198,10 @@ def learn(labelled: DataFrame) -> list[Rule]:
 def fit(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     """The rules of the labelled rows of ``stats``; quality 0 is bad."""
     known = labels.select(F.col("doc_id").alias("__id"), "quality").where("doc_id is not null and quality in (0, 1)").groupBy("__id").agg((F.min("quality") == 0).alias("bad"))
-    rows = stats.where(~base_failed()).join(known, F.col("doc_id") == F.col("__id"))
-    return learn(rows.select("doc_id", "bad", *(c.alias(f"f_{n}") for n, c in features().items())))
+    rows = stats.join(known, F.col("doc_id") == F.col("__id"))
+    # Written before the filter: pushed below the statistics, it would split the text anew for each window.
+    rows = durable(rows.select("doc_id", "bad", base_failed().alias("failed"), *(c.alias(f"f_{n}") for n, c in features().items())))
+    return learn(rows.where("not failed").drop("failed"))
 
 
 def rejection(rules: list[Rule]) -> Column:
