@@ -29,6 +29,27 @@ def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.
         yield rest
 
 
+def bulks(batches: Iterator[pa.RecordBatch], columns: Sequence[str], rows: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...]]:
+    """Many of the groups of ``runs`` (by the first of ``columns``) at a time: where each starts, and the columns of at least ``rows`` rows."""
+    parts: list[list[np.ndarray]] = []
+    held, wanted = 0, rows
+    for batch in batches:
+        parts.append([batch.column(c).to_numpy() for c in columns])
+        held += batch.num_rows
+        if held < wanted:
+            continue
+        whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        starts = np.flatnonzero(np.diff(whole[0], prepend=whole[0][0] - 1))
+        cut = int(starts[-1])
+        if cut:
+            yield starts[:-1], *(c[:cut] for c in whole)
+        parts, held = [[c[cut:] for c in whole]], held - cut
+        wanted = max(rows, 2 * held)
+    if held:
+        whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        yield np.flatnonzero(np.diff(whole[0], prepend=whole[0][0] - 1)), *whole
+
+
 def merged(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest node that the edges (a, b) connect it to."""
     parent = np.arange(n)
