@@ -101,6 +101,12 @@ def test_work_on_noisy_objects():
     assert calls(points[:, 1:], np.searchsorted(points[:, 0], np.arange(60)), Frame((3.54, 4.0, 4.5), (12, 7, 7))) < 40_000
 
 
+def test_work_on_rods():
+    """A rod of 20 voxels took 3,872 calls when each object was worked on by itself."""
+    k = np.arange(400 * 20)
+    assert calls(np.stack([k // 400, k // 20 % 20, k % 20], 1), np.arange(400) * 20, Frame((4.0, 4.0, 4.0), (20, 20, 20))) < 600
+
+
 def test_objects_are_dealt_to_all_tasks(spark):
     """Spark merged partitions of few rows into one task, however much work their objects are."""
     rows = spark.range(8000).selectExpr("cast(id div 400 as int) z", "cast(id div 20 % 20 as int) y", "cast(id % 20 as int) x", "1 + id div 20 label")

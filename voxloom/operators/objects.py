@@ -314,7 +314,7 @@ def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
     keep = np.zeros(len(points), bool)
     keep[[0, -1]] = True
     todo = [(0, len(points) - 1)]
-    if len(points) > 3 and np.allclose(points[0], points[-1]):
+    if len(points) > 3 and (np.abs(points[0] - points[-1]) <= 1e-8 + 1e-5 * np.abs(points[-1])).all():  # as allclose, for finite points
         far = int(np.linalg.norm(points - points[0], axis=1).argmax())
         keep[far] = True
         todo = [(0, far), (far, len(points) - 1)]
